@@ -62,13 +62,14 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
     gone = written(gone.groupBy("_id", "_text_hash").agg(F.collect_set("pos").alias("gone")))
     size = gone.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("gone")).alias("lines")).first()
     small = size.rows <= BROADCAST_ROWS and (size.lines or 0) <= BROADCAST_LINES
-    named = docs.withColumns({"_id": F.col("doc_id"), "_text_hash": F.xxhash64("text")})
-    to = gone.withColumnsRenamed({"_id": "_gone_id", "_text_hash": "_gone_hash"})
+    named = docs.select(F.struct("*").alias("_row"), *_row())  # no name of the input can clash with ours
+    to = gone.withColumnsRenamed({"_id": "_gone_id", "_text_hash": "_gone_hash", "gone": "_gone"})
     joined = named.join(F.broadcast(to) if small else to, F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_text_hash") == F.col("_gone_hash")), "left")
-    split = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(split, lambda line, k: ~F.array_contains(F.col("gone"), k)), "\n")
+    text = F.col("_row.text")
+    split = F.split(text, "\n", -1)
+    kept = F.array_join(F.filter(split, lambda line, k: ~F.array_contains(F.col("_gone"), k)), "\n")
     return joined.select(
-        *[F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).alias("n_lines"),
-        F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).alias("n_removed"),
+        *[F.when(F.col("_gone").isNull(), text).otherwise(kept).alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns],
+        F.when(text.isNull(), 0).otherwise(F.size(split)).alias("n_lines"),
+        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).alias("n_removed"),
     )

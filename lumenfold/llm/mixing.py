@@ -105,9 +105,10 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: the rows of `docs`, each as often as it is taken whole, and once more for the words of a part."""
-    rows = docs.withColumns({"size": size_of(F.col("text")), "key": key_of(F.col("doc_id"), quality_of(F.col("text"))), "tie": F.xxhash64("text")})
+    text = F.col("_row.text")
+    rows = docs.select(F.struct("*").alias("_row"), "source", size_of(F.col("text")).alias("size"), key_of(F.col("doc_id"), quality_of(F.col("text"))).alias("key"), F.xxhash64("text").alias("tie"))
     found = taken(rows, plan(written(sized(docs)))).where("taken > 0")
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), F.pmod("taken", "size").cast("int")), "")
+    part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), F.pmod("taken", "size").cast("int")), "")
     copies = F.concat(F.array_repeat(F.lit(True), F.floor(F.col("taken") / F.col("size")).cast("int")), F.when(F.pmod("taken", "size") > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
-    out = found.withColumn("_whole", F.explode(copies)).withColumn("_text", F.when(F.col("_whole"), F.col("text")).otherwise(part))
-    return out.select(*[F.col("_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    out = found.withColumn("_whole", F.explode(copies))
+    return out.select(*[F.when(F.col("_whole"), text).otherwise(part).alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])

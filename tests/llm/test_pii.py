@@ -1,0 +1,46 @@
+import hashlib
+import re
+
+from lumenfold.llm import pii
+
+SEPARATE = "mail joe@x.org, a@b@c.de x@y.z_w@q.r ..@a-.b, 10.0.0.1 1.2.3.4.5 999.1.1.1 0001.002.3.255 4111 1111 1111 1111 4111-1111-1111-1112 +1 (555) 123-4567 +49 30 12 +12 call 5500005555555559 12 34  56\u00e9 \U0001f600 a@b.c"
+
+
+def luhn(d):
+    return sum(sum(divmod(int(x) * (1 + k % 2), 10)) for k, x in enumerate(reversed(d))) % 10 == 0
+
+
+def plain(text):
+    text, out = text or "", {}
+    out["email"] = [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out["ip"] = [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    out["card"] = [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 13 <= len(digits(m)) <= 19 and luhn(digits(m))]
+    out["phone"] = [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(digits(m)) <= 15]
+    joined = ",".join(f"{k}:{a}:{b}" for k, spans in out.items() for a, b in spans)
+    return (*map(len, out.values()), hashlib.sha256(joined.encode()).hexdigest()), joined
+
+
+def check(df):
+    want = sorted(((str(r.doc_id), plain(r.text)) for r in df.collect()))
+    got = sorted(((str(r.doc_id), (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256), r.spans) for r in pii.digests(df).collect()))
+    for (i, (digest, joined)), (j, found, spans) in zip(want, got, strict=True):
+        assert i == j and digest == found
+        assert set(filter(None, joined.split(","))) <= set(spans.split(","))
+
+
+def test_documents(spark):
+    check(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_odd_rows(spark, odd, empty):
+    check(odd)
+    check(empty)
+    texts = [SEPARATE, "1" * 30000, "a" * 30000 + "@b.c", "a@" + "b." * 20000 + "c", "1 " * 20000, "+1" + "(" * 20000, "x@y.z" * 300, ". 1.1.1.1" * 2000, "-".join("4111111111111111"), "4111111111111111 " * 3]
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+
+
+def test_checks_and_context(spark):
+    texts = ["iban DE89 3704 0044 0532 0130 00 ok", "code DE88 3704 0044 0532 0130 00 ok", "my ssn is 123-45-6789", "part 123-45-6789", "token = \"" + "ab12" * 10 + "\"", "commit " + "ab12" * 10]
+    rows = [r.spans for r in pii.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert ["iban:5:32" in rows[0], "iban" in rows[1], rows[2] == "ssn:10:21", rows[3] == "", "secret:9:49" in rows[4], "secret" in rows[5]] == [True, False, True, True, True, False]

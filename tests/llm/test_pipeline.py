@@ -1,0 +1,62 @@
+import re
+
+import corpus_pipeline
+import pytest
+
+
+@pytest.fixture(scope="module")
+def outputs(spark, tmp_path_factory):
+    sf, to = "/root/testdata/sf0.01", tmp_path_factory.mktemp("stages")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = {"documents": docs}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf).write.parquet(str(to / name))
+        docs = out[name] = spark.read.parquet(str(to / name))
+    return out
+
+
+def test_columns(outputs):
+    for name in list(outputs)[:-1]:
+        assert outputs[name].dtypes == outputs["documents"].dtypes
+
+
+def test_toxic_documents_go(spark, outputs):
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    kept = {r.doc_id for r in outputs["toxicity"].select("doc_id").collect()}
+    clean = [i for i, x in labels.items() if not x]
+    toxic = [i for i, x in labels.items() if x]
+    assert sum(i in kept for i in clean) / len(clean) > 0.98
+    assert sum(i in kept for i in toxic) / len(toxic) < 0.1
+
+
+def test_one_of_each_group_stays(outputs):
+    from tests.llm.test_jaccard import plain
+
+    before, after = outputs["line_dedup"].collect(), outputs["near_duplicates"].collect()
+    groups = {c if n else i for i, n, c in plain(before, 5, 80)}
+    assert sorted(str(r.doc_id) for r in after) == sorted(groups)
+
+
+def test_counts_are_new(outputs):
+    assert all(r.n_chars == len(r.text) for r in outputs["mixing"].collect())
+
+
+def test_packing_holds_all(outputs):
+    rows = outputs["packing"].collect()
+    assert all(r.length == len(r.ids) // 4 for r in rows)
+    assert {r.doc_id for r in rows} == {r.doc_id for r in outputs["mixing"].collect()}
+
+
+def test_run_gives_the_stages_rows(spark, outputs):
+    found = corpus_pipeline.run(spark, "/root/testdata/sf0.01")
+    assert sum(r.length for r in found.collect()) == sum(r.length for r in outputs["packing"].collect())
+
+
+def test_odd_rows(spark, odd, empty):
+    from pyspark.sql import functions as F
+
+    for docs in (odd, empty):
+        for _, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, "/root/testdata/sf0.001")
+        assert docs.agg(F.count("*")).first()[0] >= 0
+    assert re.search("doc_id", str(docs.columns))

@@ -1,0 +1,60 @@
+import hashlib
+
+import pytest
+from lumenfold.llm import simhash
+
+
+def plain(rows):
+    order = sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0), reverse=True)
+    out = []
+    for a, b in zip(order, order[1:] + order[:1], strict=True):
+        a, b, i = a.text or "", b.text or "", a.doc_id
+        out.append((str(i), len(a), hashlib.sha256((a[: len(a) - len(a) // 3] + b[: len(a) // 3]).encode()).hexdigest()))
+    return sorted(out)
+
+
+def found(df):
+    return sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in simhash.edit_test(df).collect())
+
+
+@pytest.mark.parametrize("rows", [4000, 7])
+def test_documents(docs, rows, monkeypatch):
+    monkeypatch.setattr(simhash, "RANGE_ROWS", rows)
+    monkeypatch.setattr(simhash, "QUANTILES", 5)
+    got = simhash.edit_test(docs).collect()
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == plain(docs.collect())
+    long = [r for r in got if r.n_chars > 300]
+    assert sum(r.near_edited > r.near_next for r in long) / len(long) > 0.97
+    prints = {r.doc_id: r.fingerprint for r in simhash.fingerprint(docs).collect()}
+    assert prints == {r.doc_id: r.fingerprint for r in got}
+
+
+def test_odd_rows(odd, empty):
+    once = odd.where("doc_id is null or doc_id <> 6")
+    assert found(once) == plain(once.collect())
+    assert len(found(odd)) == odd.count()
+    assert found(odd.where("doc_id = 5")) == plain(odd.where("doc_id = 5").collect())
+    assert found(empty) == []
+
+
+def test_equal_texts(docs):
+    prints = {r.doc_id: r.fingerprint for r in simhash.fingerprint(docs).collect()}
+    by_text = {}
+    for r in docs.collect():
+        assert by_text.setdefault(r.text, prints[r.doc_id]) == prints[r.doc_id]
+
+
+def test_within_finds_all(spark):
+    import random
+
+    r = random.Random(1)
+    prints = [r.getrandbits(128) for _ in range(30)]
+    for x in prints[:30]:
+        for _ in range(3):
+            for bit in r.sample(range(128), r.choice([0, 1, 2, 3, 4])):
+                x ^= 1 << bit
+            prints.append(x)
+    df = spark.createDataFrame([(f"{x:032x}",) for x in prints], "fingerprint string")
+    want = {(min(a, b), max(a, b), (int(a, 16) ^ int(b, 16)).bit_count()) for a in {f"{x:032x}" for x in prints} for b in {f"{x:032x}" for x in prints} if a != b and (int(a, 16) ^ int(b, 16)).bit_count() <= 3}
+    got = [tuple(x) for x in simhash.within(df).collect()]
+    assert set(got) == want and len(got) == len(want)
