@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 
 WINDOW, POOL = 4096, 2048
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
-#: Different words whose ids a task keeps.
-CACHED_WORDS = 500_000
+#: Different words whose ids a task keeps (about 250 bytes each).
+CACHED_WORDS = 1_500_000
 
 _LETTERS_THEN_MARK = re.compile(rb"([a-z\x80-\xff]*[a-z])([!-/:-@\[-`{-~].*)", re.DOTALL)
 
