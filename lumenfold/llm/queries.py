@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import jaccard, lines, mixing, packing, pii, quality, simhash, toxicity, urls
+from lumenfold.llm import jaccard, lines, mixing, packing, pii, quality, simhash, topk, toxicity, urls
 from lumenfold.sources import table
 
 
@@ -30,6 +30,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), n=3, similarity=0.9)
 
 
+def op6_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return topk.search(docs.where(F.col("doc_id") % 20 == 0), docs)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -46,7 +51,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_line_dedup, op4_mixing, op5_jaccard_join, op7_url_filter, op8_pii, op9_simhash, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_line_dedup, op4_mixing, op5_jaccard_join, op6_bm25_topk, op7_url_filter, op8_pii, op9_simhash, op10_quality)}
 
 #: Same rows as op3: exact distinct counts stand for the sketches, which are exact near the threshold.
 OP3_SQL = r"""
@@ -71,4 +76,14 @@ ordered AS (SELECT r.doc_id, r.size, b.source_size, b.target, b.epochs, (floor(b
   FROM rows r JOIN budgets b ON r.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, budget - (upto - size))))::BIGINT AS taken FROM ordered"""
 
-ORACLE_SQL = {"op3_line_dedup": OP3_SQL, "op4_mixing": OP4_SQL}
+OP6_SQL = r"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS term FROM documents),
+counts AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM words GROUP BY ALL),
+sizes AS (SELECT d.doc_id, coalesce(n, 0)::DOUBLE AS n FROM documents d LEFT JOIN (SELECT doc_id, sum(tf) AS n FROM counts GROUP BY doc_id) USING (doc_id)),
+stats AS (SELECT count(*)::DOUBLE AS docs, avg(n) AS mean FROM sizes),
+weights AS (SELECT term, ln(1 + (docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM counts, stats GROUP BY term, docs),
+impacts AS (SELECT c.doc_id, term, idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean)) AS impact FROM counts c JOIN sizes USING (doc_id) JOIN weights USING (term), stats),
+scores AS (SELECT q.doc_id AS query_id, i.doc_id, round(sum(impact), 6) AS score FROM counts q JOIN impacts i USING (term) WHERE q.doc_id % 20 = 0 AND q.doc_id <> i.doc_id GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scores QUALIFY rank <= 10"""
+
+ORACLE_SQL = {"op6_bm25_topk": OP6_SQL, "op3_line_dedup": OP3_SQL, "op4_mixing": OP4_SQL}
