@@ -62,25 +62,27 @@ def distinct_by_text(doc: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np
 
 def ftrl(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Slots and weights that FTRL-proximal leaves non-zero; slot SLOTS is the intercept, without L1."""
-    z, n = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
-    rows = [np.append(x, SLOTS) for x in rows]
+    z, n = np.zeros(SLOTS), np.zeros(SLOTS)
+    z0 = n0 = 0.0
 
-    def weights(at: np.ndarray) -> np.ndarray:
-        l1 = np.where(at == SLOTS, 0.0, L1)
-        zi = z[at]
-        return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
+    def rate(n):
+        return (BETA + np.sqrt(n)) / ALPHA + L2
+
+    def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / rate(ni))
 
     for _ in range(EPOCHS):
         for at, y in zip(rows, labels, strict=True):
-            w = weights(at)
-            g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - y
             before = n[at]
-            after = before + g * g
-            z[at] += g - (np.sqrt(after) - np.sqrt(before)) / ALPHA * w
-            n[at] = after
-    every = np.arange(SLOTS + 1)
-    w = weights(every)
-    return every[w != 0], w[w != 0]
+            w, w0 = weights(z[at], before), -z0 / rate(n0)
+            g = 1.0 / (1.0 + np.exp(-np.clip(w.sum() + w0, -35, 35))) - y
+            z[at] += g - (np.sqrt(before + g * g) - np.sqrt(before)) / ALPHA * w
+            n[at] = before + g * g
+            z0 += g - (np.sqrt(n0 + g * g) - np.sqrt(n0)) / ALPHA * w0
+            n0 += g * g
+    w = np.append(weights(z, n), -z0 / rate(n0))
+    used = np.flatnonzero(w)
+    return used, w[used]
 
 
 def _train_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +98,7 @@ def _train_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _train_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("rank", kind="stable")
-    slots, weights = ftrl([x.astype(np.int64) for x in pdf["slots"]], pdf["label"].to_numpy(float))
+    slots, weights = ftrl(list(pdf["slots"]), pdf["label"].to_numpy(float))
     return pd.DataFrame({"slot": slots, "weight": weights})
 
 
