@@ -30,7 +30,7 @@ SLOTS = 1 << 20
 MAX_TRAIN_DOCS = 32_000
 #: Most shards, and the rows for which another shard is worth while: a feature must recur within a shard.
 SHARDS, SHARD_ROWS = 4, 4_000
-EPOCHS, ALPHA, BETA, L1, L2 = 5, 1.0, 1.0, 3.0, 0.02
+EPOCHS, ALPHA, BETA, L1, L2 = 8, 1.0, 1.0, 5.0, 0.02
 _SHIFT = np.uint64(64 - SLOTS.bit_length() + 1)
 _STEMS = (4, 5, 6)
 
