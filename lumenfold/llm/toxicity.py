@@ -2,7 +2,9 @@
 
 Features of a text are the hashed slots of its lower-cased words, of the words' first 4, 5 and 6 bytes (a
 truncation stem, so that inflected forms of a word share a slot), of pairs of neighbouring words and of
-pairs with one word between them. A slot counts once per text. Training runs on a bounded, documented
+pairs with one word between them. A slot counts once per text, and further slots stand for its recurrence: one
+for each of RATES that its share of the text's words reaches, since words that a text holds once by
+chance differ from words that it keeps using, whatever its length. Training runs on a bounded, documented
 sample of the labelled rows, dealt to shards; each shard runs FTRL-proximal with per-coordinate rates and
 L1, and the shards' weights are averaged by one aggregation. L1 leaves few weights, which are broadcast:
 at most SLOTS numbers, whatever the input. Scoring is one scan of the documents, without a shuffle.
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.words import Words, chunks, distinct, split_words
+from lumenfold.llm.words import Words, chunks, distinct, mix, split_words
 
 #: Hash slots; bounds the model that is collected and broadcast (8 bytes each).
 SLOTS = 1 << 20
@@ -31,6 +33,8 @@ MAX_TRAIN_DOCS = 32_000
 #: Most shards, and the rows for which another shard is worth while: a feature must recur within a shard.
 SHARDS, SHARD_ROWS = 4, 4_000
 EPOCHS, ALPHA, BETA, L1, L2 = 8, 1.0, 1.0, 5.0, 0.02
+#: A slot recurs at a rate if it occurs twice, and once in so many words of the text.
+RATES = (30, 60, 120, 240)
 _SHIFT = np.uint64(64 - SLOTS.bit_length() + 1)
 _STEMS = (4, 5, 6)
 
@@ -55,8 +59,24 @@ def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(doc), slots
 
 
-def distinct_by_text(doc: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    key = distinct(doc * SLOTS + slots)
+def recurring(slots: np.ndarray, rate: int) -> np.ndarray:
+    """The slots that stand for the recurrence of `slots` at a rate."""
+    return (mix(slots.astype(np.uint64) * np.uint64(1 << 10) + np.uint64(rate)) >> _SHIFT).astype(np.int64)
+
+
+def by_text(doc: np.ndarray, slots: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text and slot, once each, of the occurrences and of their recurrence in texts of `sizes` words."""
+    key = np.sort(doc * SLOTS + slots)
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else key
+    times = np.diff(np.append(at, len(key)))
+    key = key[at]
+    again = times >= 2
+    doc, slots, times = key[again] // SLOTS, key[again] % SLOTS, times[again]
+    found = [key]
+    for rate in RATES:
+        often = times * rate >= sizes[doc]
+        found.append(doc[often] * SLOTS + recurring(slots[often], rate))
+    key = distinct(np.concatenate(found))
     return key // SLOTS, key % SLOTS
 
 
@@ -88,7 +108,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.nda
 def _train_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, "text"):
         words = split_words(batch.column("text"), lower=True)
-        doc, slots = distinct_by_text(*features(words))
+        doc, slots = by_text(*features(words), np.diff(words.first))
         offsets = np.searchsorted(doc, np.arange(words.texts + 1)).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [batch.column("shard"), batch.column("rank"), batch.column("label"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(slots.astype(np.int32)))],
@@ -135,11 +155,13 @@ def score(docs: DataFrame, model: dict[int, float]) -> DataFrame:
         used, weights, intercept = shared.value
         dense = np.zeros(SLOTS)
         dense[used] = weights
+        every = np.arange(SLOTS)
+        counts = (dense != 0) | np.any([dense[recurring(every, rate)] != 0 for rate in RATES], axis=0)
         for batch in chunks(batches, "text"):
             words = split_words(batch.column("text"), lower=True)
             doc, slots = features(words)
-            hit = dense[slots] != 0
-            doc, slots = distinct_by_text(doc[hit], slots[hit])
+            hit = counts[slots]
+            doc, slots = by_text(doc[hit], slots[hit], np.diff(words.first))
             total = intercept + np.bincount(doc, dense[slots], words.texts)
             with np.errstate(over="ignore"):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1.0 / (1.0 + np.exp(-total)))], ["doc_id", "score"])

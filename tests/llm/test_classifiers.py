@@ -1,7 +1,11 @@
 import zlib
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from lumenfold.llm import quality, toxicity
+from lumenfold.llm.words import split_words
 
 
 def accuracy(found, labels, column):
@@ -45,3 +49,19 @@ def test_held_out_labels_do_not_matter(classify, spark, docs, labels):
 
 def test_weights_are_sparse(more, labels):
     assert len(toxicity.fit(more, labels)) < 5000
+
+
+def test_recurrence_counts_against_a_plain_count():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 60, n)) for n in (0, 1, 2, 7, 90, 700)] + ["again " * 50]
+    words = split_words(pa.array(texts), lower=True)
+    doc, slots = toxicity.features(words)
+    sizes = [len(x.split()) for x in texts]
+    expected = set()
+    for d in range(len(texts)):
+        for slot, times in Counter(slots[doc == d].tolist()).items():
+            expected.add((d, slot))
+            expected |= {(d, int(toxicity.recurring(np.array([slot]), r)[0])) for r in toxicity.RATES if times >= 2 and times * r >= sizes[d]}
+    found = list(zip(*(x.tolist() for x in toxicity.by_text(doc, slots, np.array(sizes))), strict=True))
+    assert len(found) == len(set(found)) and set(found) == expected
+    assert toxicity.by_text(doc[:0], slots[:0], np.zeros(0))[0].size == 0
