@@ -4,6 +4,10 @@ All in DataFrame functions. For each kind, the gaps between matches (split) and
 of one expression give the places by adding up lengths in code points. Possessive forms make the
 expressions linear and free of recursion on texts of any length; they match what the plain forms match.
 
+An account number (iban) may be followed by a space and more capitals or digits, so the expression gives only
+its start and the run of signs after it; the end is the place between words of the run at which the number has its
+country's length and passes mod-97. Countries without a fixed length take the longest end that passes.
+
 The base kinds (email, ip, card, phone) keep every span that passes their check, whatever the context;
 the further kinds (iban, ssn, secret) need a score of THRESHOLD, which a passed checksum or a context
 word within CONTEXT characters gives.
@@ -26,7 +30,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "secret": r"(?<![0-9A-Za-z])[0-9a-f]{32,64}+(?![0-9A-Za-z])",
 }
@@ -42,6 +46,14 @@ WORDS = {
     "ssn": "ssn|social|security|tax",
     "secret": "token|secret|key|password|passwd|auth",
 }
+# Lengths of account numbers by country.
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_LISTED = "|".join(x for names in LENGTHS.values() for x in names.split())
+_FORM = "^(?:" + "|".join(f"(?:{names.replace(' ', '|')})[A-Z0-9]{{{n - 2}}}" for n, names in LENGTHS.items()) + f"|(?!{_LISTED})[A-Z0-9]{{15,34}})$"
 #: Scores before context: a passed check, and without one.
 CHECKED, UNCHECKED, RAISE = 0.7, 0.4, 0.3
 
@@ -78,6 +90,23 @@ def mod97(text: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(moved)), F.lit(0), lambda acc, i: F.when(sign(i) >= 65, (acc * 100 + sign(i) - 55) % 97).otherwise((acc * 10 + sign(i) - 48) % 97)) == 1
 
 
+def ibans(text: Column) -> Column:
+    """start, end (exclusive) and text of the account numbers that pass mod-97, the leftmost first, without overlaps."""
+    tails = F.regexp_extract_all(text, F.lit(PATTERNS["iban"]), F.lit(1))
+
+    def number(head: Column, tail: Column) -> Column:
+        words = F.split(F.concat(head["text"], tail), " ", -1)
+        ends = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, 1, k), " "))
+        found = F.try_element_at(F.filter(ends, lambda x: F.replace(x, F.lit(" "), F.lit("")).rlike(_FORM) & mod97(x)), F.lit(-1))
+        return F.struct(head["start"].alias("start"), (head["start"] + F.length(found)).alias("end"), found.alias("text"))
+
+    def step(out: Column, x: Column) -> Column:
+        free = F.coalesce(F.try_element_at(out, F.lit(-1))["end"], F.lit(0)) <= x["start"]
+        return F.when(x["text"].isNotNull() & free, F.array_append(out, x)).otherwise(out)
+
+    return F.aggregate(F.zip_with(matches(text, PATTERNS["iban"]), tails, number), F.array().cast(_SPANS), step)
+
+
 def checked(kind: str, text: Column) -> Column:
     """Whether a match passes its kind's check; null for kinds that have none."""
     digits = F.regexp_replace(text, "[^0-9]", "")
@@ -99,7 +128,8 @@ def spans_of(text: Column, kind: str) -> Column:
         score = F.when(score > 0, score + F.when(near(x).rlike(WORDS[kind]), RAISE).otherwise(0.0)).otherwise(score)
         return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), score.alias("score"))
 
-    found = F.filter(F.transform(matches(text, PATTERNS[kind]), scored), lambda x: x["score"] >= THRESHOLD)
+    hits = ibans(text) if kind == "iban" else matches(text, PATTERNS[kind])
+    found = F.filter(F.transform(hits, scored), lambda x: x["score"] >= THRESHOLD)
     return F.when(text.rlike(HINTS[kind]), found).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,text:string,score:double>>"))
 
 

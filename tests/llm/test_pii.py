@@ -44,3 +44,27 @@ def test_checks_and_context(spark):
     texts = ["iban DE89 3704 0044 0532 0130 00 ok", "code DE88 3704 0044 0532 0130 00 ok", "my ssn is 123-45-6789", "part 123-45-6789", "token = \"" + "ab12" * 10 + "\"", "commit " + "ab12" * 10]
     rows = [r.spans for r in pii.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
     assert ["iban:5:32" in rows[0], "iban" in rows[1], rows[2] == "ssn:10:21", rows[3] == "", "secret:9:49" in rows[4], "secret" in rows[5]] == [True, False, True, True, True, False]
+
+
+def test_iban_followed_by_words(spark):
+    de, spaced, gb = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    want = {
+        f"{de} Please pay": [(0, 22)],
+        f"{spaced} Bank X": [(0, 27)],
+        f"{gb} BIC DEUT": [(0, 22)],
+        f"{spaced} 5 EUR": [(0, 27)],
+        f"{de} {gb} {spaced} OK": [(0, 22), (23, 45), (46, 73)],
+        f"AB12 {spaced}": [(5, 32)],
+        "NO93 8601 1117 947 A": [(0, 18)],
+        "\u00e9\U0001f600 MT84 MALT 0110 0001 2345 MTLC AST0 01S 99": [(3, 41)],
+        "ZZ33WEST12345698765432 BIC": [(0, 22)],  # not a listed country
+        f"{de}x": [],
+        f"{de}5": [],
+        f"x{de}": [],
+        "DE88370400440532013000 Please": [],
+        "AB12 " * 5000: None,
+    }
+    rows = pii.digests(spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")).orderBy("doc_id").collect()
+    for (text, spans), r in zip(want.items(), rows, strict=True):
+        got = [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("iban:")]
+        assert spans is None or got == spans, text
