@@ -4,7 +4,8 @@ A rule names a host suffix and a path prefix; the longest that fits decides. For
 hosts form a graph of the absolute links in the pages. Hosts most of whose pages a rule allows are
 trusted seeds, hosts most of whose pages a rule blocks are blocked seeds. Personalised PageRank carries
 trust along the links and distrust against them (a host that links to blocked hosts is suspect). A host
-is blocked if its distrust exceeds its trust and MIN_DISTRUST of an even share; else it is allowed.
+is blocked if its distrust exceeds its trust and MIN_DISTRUST of an even share; else it is allowed. The walks
+go on until what is still on its way is at most ERROR of that limit, which the damping bounds.
 
 Links are counted per pair of hosts before they are shuffled, so a host with a third of all pages is one
 row per target; both walks run in one join and one aggregation a round, and the ranks are written to the
@@ -17,6 +18,7 @@ columns are ignored; without seeds or links all hosts without a rule are allowed
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,7 +28,18 @@ from lumenfold.llm.scratch import written
 
 # Host suffix, path prefix, verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-ROUNDS, DAMPING, SEED_SHARE, MIN_DISTRUST = 8, 0.85, 0.5, 0.05
+DAMPING, SEED_SHARE, MIN_DISTRUST = 0.85, 0.5, 0.05
+#: What the ranks may still miss, as a share of the limit of a block.
+ERROR = 1e-3
+
+
+def rounds_for(missing: float, damping: float = DAMPING) -> int:
+    """Rounds after which the ranks of a kind differ from their limits by `missing` in sum at most."""
+    return math.ceil(math.log(missing / 2) / math.log(damping))
+
+
+#: Rounds of a walk without a number of hosts.
+ROUNDS = rounds_for(1e-5)
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
@@ -58,18 +71,24 @@ def host_links(pages: DataFrame) -> DataFrame:
     return found.groupBy("source", "target").agg(F.count(F.lit(1)).alias("links"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """kind ("trust", "distrust"), host, rank. seeds: kind, host, seed (the seeds of a kind sum to 1)."""
+def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, missing: float = 0.0) -> DataFrame:
+    """kind ("trust", "distrust"), host, rank. seeds: kind, host, seed (the seeds of a kind sum to 1). It ends early if the ranks miss `missing` in sum at most."""
     steps = links.select(F.lit("trust").alias("kind"), "source", "target", "links").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("target").alias("source"), F.col("source").alias("target"), "links"))
     out = steps.groupBy("kind", "source").agg(F.sum("links").alias("total"))
     steps = written(steps.join(out, ["kind", "source"]).select("kind", F.col("source").alias("host"), "target", (F.col("links") / F.col("total")).alias("share")))
     ranks = seeds.select("kind", "host", F.col("seed").alias("rank"))
     if steps.isEmpty():
         return ranks
+    zero = F.lit(0.0).alias("before")
+    start = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"), zero)
     for _ in range(rounds):
-        flow = steps.join(ranks, ["kind", "host"]).select("kind", F.col("target").alias("host"), (F.col("share") * F.col("rank") * damping).alias("rank"))
-        start = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"))
-        ranks = written(flow.unionByName(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank")))
+        flow = steps.join(ranks, ["kind", "host"]).select("kind", F.col("target").alias("host"), (F.col("share") * F.col("rank") * damping).alias("rank"), zero)
+        old = ranks.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("before"))
+        both = written(flow.unionByName(start).unionByName(old).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before")))
+        ranks = both.where("rank > 0").select("kind", "host", "rank")
+        change = both.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] or 0.0
+        if change * damping / (1 - damping) <= missing:
+            break
     return ranks
 
 
@@ -84,7 +103,8 @@ def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     seeds = hosts.select("host", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("weight")) for k in ("trust", "distrust")])).alias("x")).select("host", "x.kind", "x.weight").where(F.col("weight") > SEED_SHARE)
     sums = seeds.groupBy("kind").agg(F.sum("weight").alias("sum"))
     seeds = written(seeds.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("weight") / F.col("sum")).alias("seed")))  # two rows
-    ranks = propagate(host_links(pages), seeds)
+    missing = ERROR * MIN_DISTRUST / max(1, hosts.count())
+    ranks = propagate(host_links(pages), seeds, rounds_for(missing), missing=missing)
     even = hosts.agg(F.count(F.lit(1)).alias("hosts"))
     by_host = ranks.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")])
     bad = by_host.join(F.broadcast(even)).where((F.col("distrust") > F.col("trust")) & (F.col("distrust") * F.col("hosts") > MIN_DISTRUST)).select("host", F.lit("block").alias("method"))  # one row

@@ -62,3 +62,17 @@ def test_ranks_equal_plain(spark):
             ranks = new
         for h, w in ranks.items():
             assert got.get((kind, h), 0) == pytest.approx(w)
+
+
+def test_long_chain(spark):
+    rows = [page(0, "bad.example.com", "/de/"), page(1, "h1.com", "/", "bad.example.com")]
+    rows += [page(k, f"h{k}.com", "/", f"h{k - 1}.com") for k in range(2, 13)]
+    got = {r.host: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {"bad.example.com": "block", **{f"h{k}.com": "block" for k in range(1, 13)}}
+
+
+def test_rounds_suffice(spark):
+    links = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "source string, target string, links long")
+    seeds = spark.createDataFrame([("trust", "a", 1.0)], "kind string, host string, seed double")
+    got = {r.host: r["rank"] for r in urls.propagate(links, seeds, urls.rounds_for(1e-3), missing=1e-3).collect()}
+    assert abs(got["a"] - 1 / 1.85) + abs(got["b"] - 0.85 / 1.85) <= 1e-3
