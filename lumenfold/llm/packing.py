@@ -7,11 +7,15 @@ the rest closest to capacity, and the counts are read back from the stored bitse
 filled by cutting one remainder; the last, partial windows of a partition are cut at powers of two, which
 need no padding. A task holds POOL remainders at most (16 KB each), whatever the input.
 
+Each different word is encoded once: its ids stand in arrays, found by the word's 64-bit hash, of at most
+CACHED_WORDS words of at most CACHED_IDS ids, about 40 bytes each; longer words are encoded wherever they stand.
+
 The result depends on how the input is dealt to partitions, so give it a table that was read (as
 `pack` is here), or one written before, so that a lost task is repeated on the same rows.
 
 Cases: a null or empty text is the end token alone; repeated rows are packed once each; texts of any
-length are packed whole; extra columns are ignored; an empty table gives no row.
+length are packed whole; a text that spells a special token of the tokenizer has that token's id there, as
+the tokenizer gives it; extra columns are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -26,55 +30,60 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from lumenfold.llm.words import chunks, split_words
+
 WINDOW, POOL = 4096, 2048
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
-#: Different words whose ids a task keeps (about 250 bytes each).
-CACHED_WORDS = 1_500_000
+#: Most words whose ids a worker keeps, and most ids of one of them (about 40 bytes a word, 45 MB in all).
+CACHED_WORDS, CACHED_IDS = 1_000_000, 32
 
 _LETTERS_THEN_MARK = re.compile(rb"([a-z\x80-\xff]*[a-z])([!-/:-@\[-`{-~].*)", re.DOTALL)
+#: What special tokens begin with; only texts without it are lower-cased before the tokenizer does it.
+_SPECIAL = b"<|"
+
+
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The indexes first, first + 1, ... of each of the counts, one after the other."""
+    ends = np.cumsum(count)
+    return np.repeat(first - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class WordIds:
-    """Ids of texts by a tokenizer that drops white space, lower-cases and never joins words: each different word is encoded once."""
+    """Ids of texts by a tokenizer that drops white space, lower-cases and never joins words."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
+        self.hashes, self.used = np.zeros(0, np.uint64), np.zeros(0, bool)
+        self.first, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > CACHED_WORDS:
-            self.known.clear()
-        known, parts, letters, others = self.known, {}, set(), set()
+    def _encoded(self, words: list[bytes]) -> list[bytes]:
+        """Each word's ids; words of letters go to the tokenizer together."""
+        parts, letters, others = [], set(), set()
         for word in words:
-            low = word.lower()
-            if low.isalpha():  # ASCII letters
-                if low in known:
-                    known[word] = known[low]
-                    continue
-                letters.add(low)
-                parts[word] = low
-            elif cut := _LETTERS_THEN_MARK.match(low):  # the tokenizer starts anew where a mark follows a letter
-                parts[word] = cut.groups()
-                others.update(x for x in cut.groups() if x not in known)
+            if word.isalpha():  # ASCII letters
+                letters.add(word)
+                parts.append((word,))
+            elif _SPECIAL not in word and (cut := _LETTERS_THEN_MARK.match(word)):  # the tokenizer starts anew where a mark follows a letter
+                parts.append(cut.groups())
+                others.update(cut.groups())
             else:
-                parts[word] = low
-                others.add(low)
-        rest = [x.decode() for x in others if x not in letters]
+                parts.append((word,))
+                others.add(word)
+        rest = [x.decode() for x in others - letters]
         some = [x.decode() for x in letters] + [x for x in rest if x.isalpha()]
+        known: dict[bytes, bytes] = {}
         for at in range(0, len(some), 1000):
             part = some[at : at + 1000]
             known.update(zip([x.encode() for x in part], self._joined(part), strict=True))
         rest = [x for x in rest if not x.isalpha()]
         known.update(zip([x.encode() for x in rest], self._each(rest), strict=True))
-        for word, p in parts.items():
-            known[word] = known[p] if type(p) is bytes else known[p[0]] + known[p[1]]
+        return [b"".join([known[x] for x in p]) for p in parts]
 
     def _each(self, words: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -88,20 +97,65 @@ class WordIds:
         raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
         return [raw[i:j] for i, j in zip(at, at[1:], strict=False)]
 
-    def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 64):
-            split = [x.split() for x in texts[at : at + 64]]  # of bytes: splits at space and 0x09-0x0D
-            words = [w for x in split for w in x]
-            ids = list(map(self.known.get, words))
-            unknown = [k for k, x in enumerate(ids) if x is None]
-            if unknown:
-                self._learn(list({words[k] for k in unknown}))
-                for k in unknown:
-                    ids[k] = self.known[words[k]]
-            end = 0
-            for x in split:
-                start, end = end, end + len(x)
-                yield b"".join(ids[start:end])
+    def _keep(self, hashes: np.ndarray, first: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
+        """Add words; beyond CACHED_WORDS, those go that weren't met since the last time."""
+        short = count <= CACHED_IDS
+        hashes, first, count = hashes[short], first[short], count[short]
+        stays = np.ones(len(self.hashes), bool)
+        if len(self.hashes) + len(hashes) > CACHED_WORDS:
+            stays = self.used if 2 * np.count_nonzero(self.used) <= CACHED_WORDS else ~stays
+            self.used = np.zeros(len(self.hashes), bool)
+        every = np.concatenate([self.hashes[stays], hashes])
+        order = np.argsort(every, kind="stable")
+        counts = np.concatenate([self.count[stays], count])
+        if not stays.all():
+            self.ids = self.ids[_spread(self.first[stays], self.count[stays])]
+            old = np.cumsum(self.count[stays]) - self.count[stays]
+        else:
+            old = self.first
+        own = ids[_spread(first, count)]
+        new = len(self.ids) + np.cumsum(count) - count
+        self.ids = np.concatenate([self.ids, own])
+        self.hashes, self.count = every[order], counts[order]
+        self.first = np.concatenate([old, new])[order]
+        self.used = np.concatenate([self.used[stays], np.ones(len(hashes), bool)])[order]
+
+    def _of_different(self, hashes: np.ndarray, spelled) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First, count and ids of ascending different hashes; spelled: the words at some of their indexes."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        self.used[at[known]] = True
+        unknown = np.flatnonzero(~known)
+        count = np.zeros(len(hashes), np.int64)
+        first = np.zeros(len(hashes), np.int64)
+        count[known], first[known] = self.count[at[known]], self.first[at[known]]
+        ids = self.ids
+        if len(unknown):
+            fresh = self._encoded(spelled(unknown))
+            count[unknown] = [len(x) // 4 for x in fresh]
+            new = np.cumsum(count[unknown]) - count[unknown]
+            learned = np.frombuffer(b"".join(fresh), "<u4")
+            first[unknown] = len(ids) + new
+            ids = np.concatenate([ids, learned])
+            self._keep(hashes[unknown], new, count[unknown], learned)
+        return first, count, ids
+
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        words = split_words(texts, lower=True)  # a tokenizer that lower-cases gives both the same ids
+        if _SPECIAL in words.data.tobytes():
+            words = split_words(texts)
+        hashes, at, own = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        raw = words.data.tobytes()
+        spelled = lambda some: [raw[words.start[k] : words.start[k] + words.length[k]] for k in at[some]]
+        first, count, ids = self._of_different(hashes, spelled)
+        for low in range(0, words.texts, 64):
+            some = own[words.first[low] : words.first[min(low + 64, words.texts)]]
+            counts = count[some]
+            out = ids[_spread(first[some], counts)]
+            ends = np.concatenate([[0], np.cumsum(counts)])[words.first[low : low + 65] - words.first[low]]
+            for i, j in zip(ends, ends[1:], strict=False):
+                yield out[i:j]
 
 
 _tokenizers: dict[str, WordIds] = {}
@@ -234,16 +288,13 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer_path: str | None = Non
                 ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
             )
 
-        for whole in batches:
-            id_type = whole.schema.field("doc_id").type
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                texts = batch.column("text").cast(pa.binary()).to_pylist()
-                found = []
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokenizer([x or b"" for x in texts]), strict=True):
-                    found += packer.add(doc_id, ids + end)
-                if found:
-                    yield rows(found)
+        for batch in chunks(batches, "text"):
+            id_type = batch.schema.field("doc_id").type
+            found = []
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokenizer(batch.column("text")), strict=True):
+                found += packer.add(doc_id, ids.tobytes() + end)
+            if found:
+                yield rows(found)
         if found := list(packer.finish()):
             yield rows(found)
 

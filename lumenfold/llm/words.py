@@ -7,13 +7,14 @@ prefix's, 64-bit polynomial hash by one subtraction; no Python code runs per wor
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are handled at once; a longer single text is handled alone.
+#: Bytes of text that are handled at once; a longer single text is handled alone. Positions count anew in every such block.
 CHUNK_BYTES = 1 << 20
 
 _P = 0x9E3779B97F4A7C15 | 1
@@ -25,15 +26,24 @@ _LOWER[0x41:0x5B] += 0x20
 _powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size, inverse = max(n, CHUNK_BYTES), pow(_P, -1, 1 << 64)
-        steps = np.full((2, size), 1, np.uint64)
-        steps[0, 1:], steps[1, 1:] = np.uint64(_P), np.uint64(inverse)
+def _power_tables() -> list[np.ndarray]:
+    """Powers of P and of its inverse, for the positions of one block."""
+    if not _powers:
+        steps = np.full((2, CHUNK_BYTES), 1, np.uint64)
+        steps[0, 1:], steps[1, 1:] = np.uint64(_P), np.uint64(pow(_P, -1, 1 << 64))
         _powers[:] = [np.multiply.accumulate(x, dtype=np.uint64) for x in steps]
     return _powers
 
 
+def release() -> None:
+    """Give memory that is free back to the system, since a Python worker outlives its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers in which every input bit moves every output bit."""
     x = x.astype(np.uint64, copy=True)
@@ -70,8 +80,23 @@ class Words:
     def hashes(self, prefix: int | None = None) -> np.ndarray:
         """64-bit hash of each word, or of its first `prefix` bytes."""
         end = self.start + (self.length if prefix is None else np.minimum(self.length, prefix))
-        below = np.where(self.start > 0, self._sums[self.start - 1], np.uint64(0))
-        return mix((self._sums[end - 1] - below) * _power_tables(len(self.data))[1][self.start])
+        at = self.start % CHUNK_BYTES if len(self.data) > CHUNK_BYTES else self.start
+        below = np.where(at > 0, self._sums[self.start - 1], np.uint64(0))
+        out = (self._sums[end - 1] - below) * _power_tables()[1][at]
+        if len(self.data) > CHUNK_BYTES:
+            for k in np.flatnonzero(self.start // CHUNK_BYTES != (end - 1) // CHUNK_BYTES):
+                out[k] = self._across(int(self.start[k]), int(end[k]))
+        return mix(out)
+
+    def _across(self, start: int, end: int) -> int:
+        """The sum of a word that goes over the end of a block."""
+        total = 0
+        for low in range(start - start % CHUNK_BYTES, end, CHUNK_BYTES):
+            part = int(self._sums[min(low + CHUNK_BYTES, end) - 1])
+            if low <= start:
+                part -= int(self._sums[start - 1]) if start > low else 0
+            total += part * pow(_P, low - start, 1 << 64)
+        return total % (1 << 64)
 
     def pairs(self, hashes: np.ndarray, gap: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each word with the word `gap` further on in the same text, and the index of the first."""
@@ -126,12 +151,15 @@ def split_words(texts: pa.Array, lower: bool = False) -> Words:
     end = np.flatnonzero(word & (after | edge[1:])) + 1
     first = np.searchsorted(start, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    sums = np.cumsum(_BYTES[data] * _power_tables(n)[0][:n], dtype=np.uint64)
+    sums = np.empty(n, np.uint64)
+    for low in range(0, n, CHUNK_BYTES):
+        part = data[low : low + CHUNK_BYTES]
+        np.cumsum(_BYTES[part] * _power_tables()[0][: len(part)], out=sums[low : low + len(part)])
     return Words(data, offsets, start, end - start, doc, first, sums)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The batches, cut between rows so that `column` holds about CHUNK_BYTES in each."""
+    """The batches, cut between rows so that `column` holds about CHUNK_BYTES in each; in the end memory is given back."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -142,3 +170,4 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK_BYTES, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    release()

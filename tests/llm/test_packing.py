@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from lumenfold.llm import packing
@@ -12,7 +13,6 @@ from tokenizers import Tokenizer
 
 def check(rows, texts):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     want = sorted((str(i), np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, x in texts)
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -57,6 +57,25 @@ def test_odd_rows(odd, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_special_tokens_and_random_words(spark, monkeypatch):
+    r = random.Random(4)
+    pieces = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "<", "<|", "Don't", "it's", "a", "Word", "caf\u00e9", "\u00c5", "12", ".", " ", " ", "\n", "\u00a0", "x" * 70, "\u0130"]
+    texts = [(k, "".join(r.choices(pieces, k=r.choice([1, 2, 5, 30])))) for k in range(600)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert check(packing.pack(df).collect(), texts) == 0
+
+
+def test_words_that_go_from_the_cache(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, r = Tokenizer.from_file(path), random.Random(9)
+    monkeypatch.setattr(packing, "CACHED_WORDS", 50)
+    ids = packing.WordIds(path)
+    for _ in range(30):
+        texts = [" ".join("".join(r.choices("abcde", k=r.choice([1, 2, 3, 90]))) for _ in range(r.choice([0, 3, 20]))) for _ in range(4)]
+        assert [x.tolist() for x in ids(pa.array(texts))] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert len(ids.hashes) <= 80 and sorted(ids.hashes.tolist()) == ids.hashes.tolist()
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_fill_is_closest(seed):
     r = random.Random(seed)
