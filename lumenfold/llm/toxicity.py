@@ -5,13 +5,15 @@ truncation stem, so that inflected forms of a word share a slot), of pairs of ne
 pairs with one word between them. A slot counts once per text, and further slots stand for its recurrence: one
 for each of RATES that its share of the text's words reaches, since words that a text holds once by
 chance differ from words that it keeps using, whatever its length. Training runs on a bounded, documented
-sample of the labelled rows, dealt to shards; each shard runs FTRL-proximal with per-coordinate rates and
-L1, and the shards' weights are averaged by one aggregation. L1 leaves few weights, which are broadcast:
-at most SLOTS numbers, whatever the input. Scoring is one scan of the documents, without a shuffle.
+sample of the labelled rows (MAX_TRAIN_DOCS rows and MAX_TRAIN_SLOTS slots in all), which one task takes in the
+order of a hash of the id: FTRL-proximal with per-coordinate rates and L1, the same at every size of the input. L1
+leaves few weights, which are broadcast: at most SLOTS numbers, whatever the input. Scoring is one scan of the
+documents, without a shuffle.
 
 Cases: a null or empty text has no feature and gets the score of the intercept; rows with a null label or
-a null id are not learned from; repeated rows are scored alike; extra columns of the input are ignored;
-without any labelled row every score is 0.0. Texts of any length are read whole.
+a null id are not learned from; of labelled rows that repeat an id one text is learned from (the one with the
+smallest hash), with the largest of the id's labels; repeated rows are scored alike; extra columns of the input are
+ignored; without any labelled row every score is 0.0. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -19,19 +21,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.llm.scratch import forget, written
 from lumenfold.llm.words import Words, chunks, distinct, mix, split_words
 
 #: Hash slots; bounds the model that is collected and broadcast (8 bytes each).
 SLOTS = 1 << 20
-#: Most labelled rows that are learned from, chosen by a hash of the id; fewer are all used.
-MAX_TRAIN_DOCS = 32_000
-#: Most shards, and the rows for which another shard is worth while: a feature must recur within a shard.
-SHARDS, SHARD_ROWS = 4, 4_000
+#: Most labelled rows that are learned from, chosen by a hash of the id, and most slots of them in all (4 bytes each);
+#: fewer are all used.
+MAX_TRAIN_DOCS, MAX_TRAIN_SLOTS = 16_000, 64_000_000
 EPOCHS, ALPHA, BETA, L1, L2 = 8, 1.0, 1.0, 5.0, 0.02
 #: A slot recurs at a rate if it occurs twice, and once in so many words of the text.
 RATES = (30, 60, 120, 240)
@@ -111,37 +112,41 @@ def _train_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         doc, slots = by_text(*features(words), np.diff(words.first))
         offsets = np.searchsorted(doc, np.arange(words.texts + 1)).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("shard"), batch.column("rank"), batch.column("label"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(slots.astype(np.int32)))],
-            ["shard", "rank", "label", "slots"],
+            [batch.column("rank"), batch.column("tie"), batch.column("label"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(slots.astype(np.int32)))],
+            ["rank", "tie", "label", "slots"],
         )
 
 
-def _train_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("rank", kind="stable")
-    slots, weights = ftrl(list(pdf["slots"]), pdf["label"].to_numpy(float))
-    return pd.DataFrame({"slot": slots, "weight": weights})
+def _train(table: pa.Table) -> pa.Table:
+    rows, labels, ranks = [], [], []
+    for batch in table.to_batches():
+        column = batch.column("slots")
+        offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+        rows += [values[i:j] for i, j in zip(offsets, offsets[1:], strict=False)]  # views: no row is copied
+        labels += batch.column("label").to_pylist()
+        ranks += batch.column("rank").to_pylist()
+    order = np.argsort(np.array(ranks, np.int64), kind="stable")
+    slots, weights = ftrl([rows[k] for k in order], np.array(labels, float)[order])
+    return pa.table({"slot": slots, "weight": weights})
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train_docs: int = MAX_TRAIN_DOCS) -> dict[int, float]:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_docs: int = MAX_TRAIN_DOCS, max_slots: int = MAX_TRAIN_SLOTS) -> dict[int, float]:
     """Weights by slot, from the rows of `labels` (doc_id, `label`) that aren't held out."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("label"))
     known = known.withColumn("rank", F.xxhash64("doc_id"))
     rows = known.count()
     if not rows:
         return {}
-    share = min(1.0, max_train_docs / rows)  # of the hash's range, so that the sample stays near its bound
-    sample = known.where(F.col("rank") < F.lit(int((2 * share - 1) * ((1 << 63) - 1)))) if share < 1 else known
-    # the sample has about max_train_docs rows of 24 bytes at most: a fixed bound
-    shards = max(1, min(SHARDS, min(rows, max_train_docs) // SHARD_ROWS))
-    picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.pmod("rank", F.lit(shards)).alias("shard"), "rank", F.col("label").cast("double").alias("label"), "text")
-    trained = (
-        picked.mapInArrow(_train_features, "shard long, rank long, label double, slots array<int>")
-        .groupBy("shard")
-        .applyInPandas(_train_shard, "slot long, weight double")
-        .groupBy("slot")
-        .agg((F.sum("weight") / shards).alias("weight"))
-    )
-    return {r.slot: r.weight for r in trained.collect()}  # SLOTS + 1 rows at most
+    up_to = lambda share: F.col("rank") <= F.lit(min(int((2 * share - 1) * (1 << 63)), (1 << 63) - 1))  # noqa: E731  a share of the hash's range
+    sample = known.where(up_to(min(1.0, max_docs / rows)))  # about max_docs rows of 24 bytes at most: a fixed bound
+    picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("rank", F.xxhash64("text").alias("tie"), F.col("label").cast("double").alias("label"), "text")
+    read = picked.mapInArrow(_train_features, "rank long, tie long, label double, slots array<int>")
+    found = written(read.groupBy("rank").agg(F.max("label").alias("label"), F.min_by("slots", "tie").alias("slots")))
+    size = found.agg(F.sum(F.size("slots"))).first()[0] or 0
+    share = min(1.0, max_docs / rows) * min(1.0, max_slots / max(size, 1))
+    trained = found.where(up_to(share)).withColumn("sample", F.lit(0)).groupBy("sample").applyInArrow(_train, "slot long, weight double").collect()  # SLOTS + 1 rows at most
+    forget(found)
+    return {r.slot: r.weight for r in trained}
 
 
 def score(docs: DataFrame, model: dict[int, float]) -> DataFrame:
