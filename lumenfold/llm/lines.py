@@ -10,7 +10,8 @@ A line is what stands between line feeds, compared without surrounding ASCII whi
 never removed. Cases: a null text stays null with 0 lines, an empty text has one blank line; a null
 source counts as the site with the empty name; of repeated rows with one doc_id and text all are treated
 alike, so each keeps a first occurrence; a null doc_id comes before all others; extra columns are passed
-through; an empty table gives no row. Texts of any length are read whole.
+through, but for those named n_lines or n_removed, which are replaced; an empty table gives no row. Texts of any
+length are read whole, and take time in proportion to their lines.
 """
 
 from __future__ import annotations
@@ -24,7 +25,10 @@ MIN_SITES, LG_K = 5, 12
 #: Standard errors of an estimate within which a line is counted exactly.
 NEAR = 5.0
 #: Sizes up to which the removals are broadcast (about 30 MB); beyond, documents and removals meet by a shuffle.
-BROADCAST_ROWS, BROADCAST_LINES = 200_000, 2_000_000
+BROADCAST_ROWS, BROADCAST_WORDS = 200_000, 1_000_000
+#: Lines to remove that are broadcast (about 50 bytes each). If there are more, those that make up over a BROADCAST_LINES-th of
+#: all lines are, of which there can't be more; the others, none of which is frequent, meet their occurrences by a shuffle.
+BROADCAST_LINES = 200_000
 
 _BLANKS = " \t\r\x0b\x0c"
 
@@ -40,36 +44,65 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """h1, h2 and first (id, pos) of the lines that reach `min_sites` distinct sites."""
+    """h1, h2, first (id, pos) and n (occurrences) of the lines that reach `min_sites` distinct sites."""
     margin = max(1.0, NEAR * 1.04 / 2 ** (LG_K / 2) * min_sites)
     spread = written(
         lines.groupBy("h1", "h2")
-        .agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min(F.struct("_id", "pos")).alias("first"))
-        .select("h1", "h2", "first", F.hll_sketch_estimate("sketch").cast("double").alias("sites"))
+        .agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min(F.struct("_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
+        .select("h1", "h2", "first", "n", F.hll_sketch_estimate("sketch").cast("double").alias("sites"))
         .where(F.col("sites") >= min_sites - margin)
     )
     near = spread.where(F.col("sites") <= min_sites + margin)
     exact = lines.join(near.select("h1", "h2"), ["h1", "h2"]).groupBy("h1", "h2").agg(F.count_distinct("site").alias("exact")).where(F.col("exact") >= min_sites)
-    sure = spread.where(F.col("sites") > min_sites + margin).select("h1", "h2", "first")
-    return sure.unionByName(near.join(exact, ["h1", "h2"]).select("h1", "h2", "first"))
+    sure = spread.where(F.col("sites") > min_sites + margin).select("h1", "h2", "first", "n")
+    return sure.unionByName(near.join(exact, ["h1", "h2"]).select("h1", "h2", "first", "n"))
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """All rows and columns of `docs`, text without the removed lines, and n_lines, n_removed (before, of them)."""
+def _occurrences(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of `lines` that stand in `found`, with first."""
+    few = found.count()
+    found = found.select("h1", "h2", "first", "n")
+    if few <= BROADCAST_LINES:
+        return lines.join(F.broadcast(found.drop("n")), ["h1", "h2"])
+    often = F.col("n") * BROADCAST_LINES > lines.count()
+    return lines.join(F.broadcast(found.where(often).drop("n")), ["h1", "h2"]).unionByName(lines.join(found.where(~often).drop("n"), ["h1", "h2"]))
+
+
+def _cleaned(docs: DataFrame, min_sites: int) -> DataFrame:
+    """_row (the row of `docs`), _text (without the removed lines), _n_lines, _n_removed: no name of the input can clash with ours."""
     lines = _lines(docs)
     found = written(boilerplate(lines, min_sites))
-    gone = lines.join(found, ["h1", "h2"]).where(~(F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("pos") == F.col("first.pos"))))
-    gone = written(gone.groupBy("_id", "_text_hash").agg(F.collect_set("pos").alias("gone")))
-    size = gone.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("gone")).alias("lines")).first()
-    small = size.rows <= BROADCAST_ROWS and (size.lines or 0) <= BROADCAST_LINES
-    named = docs.select(F.struct("*").alias("_row"), *_row())  # no name of the input can clash with ours
-    to = gone.withColumnsRenamed({"_id": "_gone_id", "_text_hash": "_gone_hash", "gone": "_gone"})
-    joined = named.join(F.broadcast(to) if small else to, F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_text_hash") == F.col("_gone_hash")), "left")
+    gone = _occurrences(lines, found).where(~(F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("pos") == F.col("first.pos"))))
+    # the places to remove as bits of 64-bit words
+    words = gone.groupBy("_id", "_text_hash", F.floor(F.col("pos") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
+    mapped = words.groupBy("_id", "_text_hash").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("by_word"), F.max("word").alias("last"), F.sum(F.bit_count("bits")).alias("_removed"))
+    dense = F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.coalesce(F.try_element_at("by_word", k), F.lit(0).cast("long")))
+    gone = written(mapped.select(F.col("_id").alias("_gone_id"), F.col("_text_hash").alias("_gone_hash"), dense.alias("_gone"), "_removed"))
+    size = gone.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("_gone")).alias("words")).first()
+    small = size.rows <= BROADCAST_ROWS and (size.words or 0) <= BROADCAST_WORDS
+    named = docs.select(F.struct("*").alias("_row"), *_row())
+    joined = named.join(F.broadcast(gone) if small else gone, F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_text_hash") == F.col("_gone_hash")), "left")
     text = F.col("_row.text")
     split = F.split(text, "\n", -1)
-    kept = F.array_join(F.filter(split, lambda line, k: ~F.array_contains(F.col("_gone"), k)), "\n")
+    stays = lambda k: F.getbit(F.coalesce(F.get("_gone", F.floor(k / 64).cast("int")), F.lit(0).cast("long")), k % 64) == 0
+    kept = F.array_join(F.filter(split, lambda line, k: stays(k)), "\n")
     return joined.select(
-        *[F.when(F.col("_gone").isNull(), text).otherwise(kept).alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns],
-        F.when(text.isNull(), 0).otherwise(F.size(split)).alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).alias("n_removed"),
+        "_row",
+        F.when(F.col("_gone").isNull(), text).otherwise(kept).alias("_text"),
+        F.when(text.isNull(), 0).otherwise(F.size(split)).alias("_n_lines"),
+        F.coalesce("_removed", F.lit(0)).cast("int").alias("_n_removed"),
     )
+
+
+def _columns(docs: DataFrame, but: tuple = ()) -> list[Column]:
+    return [F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns if c not in but]
+
+
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """All rows and columns of `docs`, text without the removed lines, and n_lines, n_removed (before, of them)."""
+    return _cleaned(docs, min_sites).select(*_columns(docs, ("n_lines", "n_removed")), F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
+
+
+def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """The rows of `docs` with something left, text without the removed lines; rows that lose nothing stay as they are."""
+    return _cleaned(docs, min_sites).where("_n_removed = 0 or trim(_text) <> ''").select(*_columns(docs))
