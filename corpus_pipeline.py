@@ -30,8 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many sites carry; those of which no line is left go, others stay."""
-    cleaned = lines.remove_boilerplate(docs)
-    return _as_documents(cleaned.where("n_removed = 0 or trim(text) <> ''"), docs.columns)
+    return _as_documents(lines.without_boilerplate(docs), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
