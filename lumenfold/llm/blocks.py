@@ -11,6 +11,11 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
+from lumenfold.llm.words import release
+
+#: Rows that are turned to Python values at once.
+SLICE = 256
+
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str], work: Callable[[list[tuple]], Iterator[tuple]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Apply `work` to each run of rows with equal `keys`, as tuples of `columns`; its tuples make rows of `schema`."""
@@ -23,7 +28,7 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str],
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(schema)], schema=schema)
             out.clear()
 
-    for batch in batches:
+    for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
         key_rows = zip(*(batch.column(c).to_pylist() for c in keys), strict=True)
         for key, row in zip(key_rows, zip(*(batch.column(c).to_pylist() for c in columns), strict=True), strict=True):
             if held and key != last:
@@ -35,3 +40,4 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str],
     if held:
         out += work(held)
     yield from flush(0)
+    release()

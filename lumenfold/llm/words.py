@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that are handled at once; a longer single text is handled alone. Positions count anew in every such block.
 CHUNK_BYTES = 1 << 20
@@ -163,8 +164,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = batch.column(column).fill_null("").cast(pa.large_string())
-        ends = np.frombuffer(sizes.buffers()[1], np.int64)[sizes.offset : sizes.offset + len(sizes) + 1]
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK_BYTES, "right")) - 1)
