@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that the cluster shares."""
+"""Intermediate tables in the folder that the cluster shares, and a check of what operators are given."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegralType, NullType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,3 +45,11 @@ def forget(*tables: DataFrame) -> None:
     for table in tables:
         files, at = _file_system(table.sparkSession, table._written_to)
         files.delete(at, True)
+
+
+def whole_numbers(*tables: DataFrame, column: str = "doc_id") -> None:
+    """Refuse ids of another kind in words, before a task fails on one of them."""
+    for table in tables:
+        kind = table.schema[column].dataType
+        if not isinstance(kind, IntegralType | NullType):
+            raise TypeError(f"{column} must be a whole number, not {kind.simpleString()}; number the rows first")

@@ -5,13 +5,15 @@ its length in bytes, less for short words, which occur everywhere. A text's vote
 byte values a byte of the term hash, so no bit is counted term by term. The likeness of two fingerprints
 is the cosine that their Hamming distance stands for, not below 0.
 
-`within` finds all pairs of different fingerprints within a Hamming radius: the bits are cut into
-radius + 1 blocks, and two such fingerprints agree in one block at least; so for each block a table leads with
-that block, and only fingerprints that share its value are compared, each pair in the first block that it shares.
+`neighbours` counts for every fingerprint the others within a Hamming radius, and `within` gives the pairs: the bits
+are cut into radius + 1 blocks, and two such fingerprints agree in one block at least; so for each block a table
+leads with that block, and only fingerprints that share its value are compared, each pair in the first block that
+it shares. The fingerprints of a value come in parts of PART rows, and each pair of parts is a unit of work of its own, so a
+value that very many fingerprints share is held by no task; the pairs themselves are never emitted for a count.
 
 Cases: a null or empty text, or one without words, has the fingerprint of no vote (all bits 0); equal texts have
 equal fingerprints; a text that repeats gives its row each; extra columns are ignored; texts of any length are
-read whole; an empty table gives no row.
+read whole; an empty table gives no row. A doc_id must be a whole number or null for `edit_test`.
 """
 
 from __future__ import annotations
@@ -24,10 +26,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.scratch import written
+from lumenfold.llm.blocks import runs
+from lumenfold.llm.scratch import whole_numbers, written
 from lumenfold.llm.words import chunks, mix, split_words
 
 BITS, RADIUS = 128, 3
+#: Fingerprints of one value of a block that a task holds at once.
+PART = 2_048
+#: Fingerprints with neighbours up to which they are broadcast (about 60 bytes each).
+BROADCAST_PRINTS = 500_000
 #: Rows of one range of ids that a task holds in order.
 RANGE_ROWS = 4_000
 #: Most ranges, whose first rows' ids are broadcast (24 bytes each), and the quantiles they are cut from.
@@ -74,18 +81,74 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
+def _edges(radius: int) -> list[int]:
+    """Where the blocks of the hexadecimal digits begin, and their end."""
+    return [BITS // 4 * k // (radius + 1) for k in range(radius + 2)]
+
+
+def close_pairs(a: np.ndarray, b: np.ndarray, block: int, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indexes and distance of the pairs of two lists of different fingerprints (bytes) within `radius` of which `block` is the first they share; of one list, each pair once."""
+    edges = _edges(radius)
+    found = []
+    x, y = a.view(np.uint64), b.view(np.uint64)
+    for low in range(0, len(a), 256):
+        apart = sum(np.bitwise_count(x[low : low + 256, None, k] ^ y[None, :, k]).astype(np.int16) for k in range(x.shape[1]))
+        i, j = np.nonzero((apart <= radius) & (apart > 0))
+        found.append((i + low, j, apart[i, j]))
+    i, j, apart = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+    digits = lambda of: np.stack([of >> 4, of & 15], axis=2).reshape(len(of), 2 * of.shape[1])
+    equal = digits(a[i]) == digits(b[j])
+    first = np.array([~equal[:, edges[k] : edges[k + 1]].all(1) for k in range(block)]).all(0) if block else np.ones(len(i), bool)
+    keep = first & ((i < j) | (not same))
+    return i[keep], j[keep], apart[keep]
+
+
+def _compared(radius: int, pairs: bool):
+    """The pairs within the radius, or how many each fingerprint has, of each run of rows of a pair of parts."""
+    schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("distance", pa.int32())] if pairs else [("fingerprint", pa.string()), ("n", pa.int64())])
+
+    def work(rows: list[tuple]) -> Iterator[tuple]:
+        block, i, j = rows[0][0], rows[0][2], rows[0][3]
+        sides = [[r[1] for r in rows if r[4] == part] for part in (i, j)]
+        a, b = (np.frombuffer(bytes.fromhex("".join(side)), np.uint8).reshape(-1, BITS // 8) for side in sides)
+        x, y, apart = close_pairs(a, b, block, radius, i == j)
+        if pairs:
+            for k, m, d in zip(x.tolist(), y.tolist(), apart.tolist(), strict=True):
+                yield min(sides[0][k], sides[1][m]), max(sides[0][k], sides[1][m]), d
+            return
+        for side, at in zip(sides, (x, y), strict=True):
+            count = np.bincount(at, minlength=len(side))
+            for k in np.flatnonzero(count):
+                yield side[k], int(count[k])
+
+    return lambda batches: runs(batches, ["block", "value", "i", "j"], ["block", "fingerprint", "i", "j", "part"], work, schema)
+
+
+def _tables(prints: DataFrame, radius: int) -> DataFrame:
+    """block, value, i, j, fingerprint and part: each fingerprint for each pair of parts, of the values that several share."""
+    edges = _edges(radius)
+    every = written(prints.select("fingerprint").where(F.col("fingerprint").isNotNull()).distinct())
+    blocks = F.array(*[F.substring("fingerprint", edges[k] + 1, edges[k + 1] - edges[k]) for k in range(radius + 1)])
+    tables = every.select("fingerprint", F.posexplode(blocks).alias("block", "value"))
+    sizes = tables.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("block", "value", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    rows = tables.join(sizes, ["block", "value"]).withColumn("part", F.pmod(F.xxhash64("fingerprint"), "parts").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.select("block", "value", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "fingerprint", "part")
+
+
+def _search(prints: DataFrame, radius: int, pairs: bool, schema: str) -> DataFrame:
+    keys = ["block", "value", "i", "j"]
+    return _tables(prints, radius).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compared(radius, pairs), schema)
+
+
 def within(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """a, b and distance of the pairs a < b of different fingerprints at most `radius` bits apart."""
-    digits, blocks = BITS // 4, radius + 1
-    edges = [digits * k // blocks for k in range(blocks + 1)]
-    block = lambda c, k: F.substring(c, edges[k] + 1, edges[k + 1] - edges[k])
-    every = prints.select("fingerprint").where(F.col("fingerprint").isNotNull()).distinct()
-    tables = every.select("fingerprint", F.posexplode(F.array(*[block("fingerprint", k) for k in range(blocks)])).alias("block", "value"))
-    pairs = tables.withColumnRenamed("fingerprint", "a").join(tables.withColumnRenamed("fingerprint", "b"), ["block", "value"]).where("a < b")
-    first = [F.when(block("a", k) == block("b", k), k) for k in range(blocks)]
-    half = lambda c, k: F.conv(F.substring(c, 8 * k + 1, 8), 16, 10).cast("long")
-    distance = sum((F.bit_count(half("a", k).bitwiseXOR(half("b", k))) for k in range(digits // 8)), F.lit(0))
-    return pairs.where(F.col("block") == F.coalesce(*first)).select("a", "b", distance.alias("distance")).where(F.col("distance") <= radius)
+    return _search(prints, radius, True, "a string, b string, distance int")
+
+
+def neighbours(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fingerprint and n: how many other fingerprints of `prints` are at most `radius` bits apart, where any is."""
+    return _search(prints, radius, False, "fingerprint string, n long").groupBy("fingerprint").agg(F.sum("n").alias("n"))
 
 
 def _edited(text: str, following: str) -> str:
@@ -103,17 +166,18 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not pairs:
             continue
         edited = [_edited(a[3], b[3]) for a, b in pairs]
-        prints = fingerprints(pa.array([a[3] for a, _ in pairs] + edited + [b[3] for _, b in pairs], pa.large_string()))
-        n = len(pairs)
+        own = fingerprints(pa.array([r[3] for r in rows], pa.large_string()))
+        at = np.array([k for k in range(len(rows) - 1) if rows[k][0] == rows[k + 1][0] and not rows[k][2]])
+        changed = fingerprints(pa.array(edited, pa.large_string()))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([a[1] for a, _ in pairs], pa.int64()),
                 pa.array([len(a[3]) for a, _ in pairs], pa.int64()),
                 pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited], pa.string()),
-                _hex(prints[:n]),
-                _hex(prints[n : 2 * n]),
-                pa.array(likeness(prints[:n], prints[n : 2 * n])),
-                pa.array(likeness(prints[:n], prints[2 * n :])),
+                _hex(own[at]),
+                _hex(changed),
+                pa.array(likeness(own[at], changed)),
+                pa.array(likeness(own[at], own[at + 1])),
             ],
             ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
@@ -140,8 +204,9 @@ def edit_test(docs: DataFrame) -> DataFrame:
 
     The next document is the one that follows in descending doc_id (rows of one doc_id by a hash of the text, a null
     id last); after the last comes the first. Ranges of ids are shuffled to their tasks once; the row with
-    which a range would go on is sent to it as a helper.
+    which a range would go on is sent to it as a helper. n_near: how many other fingerprints are within RADIUS bits.
     """
+    whole_numbers(docs)
     rows = _ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("tie"))
     rows = rows.withColumn("place", place)
@@ -153,4 +218,8 @@ def edit_test(docs: DataFrame) -> DataFrame:
     own = joined.select("range", "place", "doc_id", "text", F.lit(False).alias("helper"))
     sent = joined.where(F.col("to").isNotNull()).dropDuplicates(["place"]).select(F.col("to").alias("range"), "place", "doc_id", "text", F.lit(True).alias("helper"))
     both = own.unionByName(sent)
-    return both.repartition("range").sortWithinPartitions(F.col("range"), F.col("helper"), F.col("place").desc()).select("range", "doc_id", "helper", "text").mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    found = both.repartition("range").sortWithinPartitions(F.col("range"), F.col("helper"), F.col("place").desc()).select("range", "doc_id", "helper", "text").mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    found = written(found)
+    near = written(neighbours(found).withColumnRenamed("n", "n_near"))
+    few = near.count() <= BROADCAST_PRINTS
+    return found.join(F.broadcast(near) if few else near, "fingerprint", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("long")))

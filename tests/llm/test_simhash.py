@@ -1,7 +1,14 @@
 import hashlib
+import itertools
+import math
+import random
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from lumenfold.llm import simhash
+from lumenfold.llm.words import mix, split_words
 
 
 def plain(rows):
@@ -44,9 +51,9 @@ def test_equal_texts(docs):
         assert by_text.setdefault(r.text, prints[r.doc_id]) == prints[r.doc_id]
 
 
-def test_within_finds_all(spark):
-    import random
-
+@pytest.mark.parametrize("part", [2048, 3])
+def test_within_finds_all(spark, part, monkeypatch):
+    monkeypatch.setattr(simhash, "PART", part)
     r = random.Random(1)
     prints = [r.getrandbits(128) for _ in range(30)]
     for x in prints[:30]:
@@ -58,3 +65,39 @@ def test_within_finds_all(spark):
     want = {(min(a, b), max(a, b), (int(a, 16) ^ int(b, 16)).bit_count()) for a in {f"{x:032x}" for x in prints} for b in {f"{x:032x}" for x in prints} if a != b and (int(a, 16) ^ int(b, 16)).bit_count() <= 3}
     got = [tuple(x) for x in simhash.within(df).collect()]
     assert set(got) == want and len(got) == len(want)
+    count = Counter(x for pair in want for x in pair[:2])
+    assert {r.fingerprint: r.n for r in simhash.neighbours(df).collect()} == count
+    assert simhash.neighbours(df.limit(0)).count() == 0
+
+
+def test_bits_and_likeness_against_a_plain_vote():
+    texts = ["one two three", "The cat sat on the mat and the dog", "", " \n", "x", "a b c d " * 40, "caf\u00e9 na\u00efve words 12 34"]
+    words = split_words(pa.array(texts), lower=True)
+    hashes, first = words.hashes(), words.first
+    prints = simhash.fingerprints(pa.array(texts))
+    plain_prints = []
+    for d, text in enumerate(texts):
+        spelled, own = text.lower().split(), hashes[first[d] : first[d + 1]]
+        size = [len(w.encode()) for w in spelled]
+        terms = [(int(h), math.sqrt(n) * (0.25 if n <= 3 else 1.0)) for h, n in zip(own, size, strict=True)]
+        for k in range(len(own) - 1):
+            pair = int(mix(own[k : k + 1] * np.uint64(5) + mix(own[k + 1 : k + 2] + np.uint64(1)))[0])
+            terms.append((pair, math.sqrt(size[k] + size[k + 1])))
+        bits = []
+        for part in range(2):
+            votes = [0.0] * 64
+            for h, weight in terms:
+                raw = mix(np.array([h], np.uint64) + np.uint64(0x632BE59BD9B4E019) * np.uint64(part + 1)).view(np.uint8)
+                for k in range(64):
+                    votes[k] += weight if raw[k // 8] >> (7 - k % 8) & 1 else -weight
+            bits += [v > 1e-9 for v in votes]
+        plain_prints.append(int("".join("01"[b] for b in bits), 2))
+    assert [int(x.tobytes().hex(), 16) for x in prints] == plain_prints
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        apart = (plain_prints[i] ^ plain_prints[j]).bit_count()
+        assert abs(simhash.likeness(prints[i : i + 1], prints[j : j + 1])[0] - (1.0 if not apart else max(0.0, math.cos(math.pi * apart / 128)))) < 1e-12
+
+
+def test_text_ids_are_refused(spark):
+    with pytest.raises(TypeError, match="doc_id must be a whole number"):
+        simhash.edit_test(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
