@@ -13,7 +13,7 @@ the further kinds (iban, ssn, secret) need a score of THRESHOLD, which a passed
 word within CONTEXT characters gives.
 
 Cases: a null or empty text has no span; repeated rows are treated alike; extra columns are passed
-through; an empty table gives no row.
+through, but for those named spans_<kind>, which are replaced; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -140,7 +140,7 @@ def find(docs: DataFrame, kinds: tuple = tuple(PATTERNS)) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts of the base kinds, the hash of their places, and all places."""
+    """doc_id, the counts of the base kinds, the hash of their places, all places, and their number."""
     found = find(docs)
     written = lambda k: F.transform(F.col(f"spans_{k}"), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string")))
     joined = lambda kinds: F.array_join(F.concat(*[written(k) for k in kinds]), ",")
@@ -149,4 +149,5 @@ def digests(docs: DataFrame) -> DataFrame:
         *[F.size(f"spans_{k}").cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(joined(BASE).cast("binary"), 256).alias("base_sha256"),
         joined(tuple(PATTERNS)).alias("spans"),
+        sum((F.size(f"spans_{k}").cast("long") for k in PATTERNS), F.lit(0).cast("long")).alias("n_spans"),
     )

@@ -21,12 +21,15 @@ ODD = [
     (12, "x y z " * 200, "en", "b", 1),
 ]
 
+#: Names inside the operators, and names of their results.
+CLASHES = ["node", "size", "score", "line", "range", "gone", "label", "target", "n_lines", "n_removed", "spans_email", "spans", "n_email", "fingerprint", "component_id", "cluster", "taken", "start", "length", "offset", "rank", "held_out", "predicted", "n_near", "_row"]
+
 
 @pytest.fixture(scope="session")
 def odd(spark):
     """The odd rows, with extra columns whose names clash with names inside the operators."""
-    schema = T.StructType(SCHEMA.fields + [T.StructField(c, T.StringType()) for c in ("node", "size", "score", "line", "range", "gone", "label", "target")])
-    return spark.createDataFrame([(*r, *["?"] * 8) for r in ODD], schema)
+    schema = T.StructType(SCHEMA.fields + [T.StructField(c, T.StringType()) for c in CLASHES])
+    return spark.createDataFrame([(*r, *["?"] * len(CLASHES)) for r in ODD], schema)
 
 
 @pytest.fixture(scope="session")

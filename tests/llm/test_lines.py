@@ -40,11 +40,26 @@ def test_near_threshold_is_exact(spark):
     assert found(df, 5) == plain(df.collect(), 5)
 
 
+def test_clashing_names_and_bounded_broadcast(odd, docs, monkeypatch):
+    assert lines.remove_boilerplate(odd, 2).columns.count("n_removed") == 1
+    assert lines.without_boilerplate(odd, 2).columns == odd.columns
+    assert {r.n_removed for r in lines.without_boilerplate(odd, 2).collect()} == {"?"}
+    for name in ("BROADCAST_LINES", "BROADCAST_ROWS"):
+        monkeypatch.setattr(lines, name, 3)
+    assert found(docs, 2) == plain(docs.collect(), 2)
+
+
+def test_text_of_many_lines(spark):
+    rows = [(k, "\n".join(f"line {n}" for n in range(200_000)), "en", f"s{k}", 0) for k in range(3)]
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in lines.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), 2).collect()}
+    assert got[0] == (200_000, 0, rows[0][1]) and got[1] == got[2] == (200_000, 200_000, "")
+
+
 def test_sql(spark):
     sf = "/root/testdata/sf0.001"
     db = duckdb.connect()
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
-    for name in ("op3_line_dedup", "op4_mixing"):
+    for name in ("op3_line_dedup", "op4_mixing", "op5_jaccard_join"):
         df = queries.QUERIES[name](spark, sf)
         columns = sorted(df.columns)
         want = db.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()

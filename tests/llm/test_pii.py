@@ -68,3 +68,40 @@ def test_iban_followed_by_words(spark):
     for (text, spans), r in zip(want.items(), rows, strict=True):
         got = [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("iban:")]
         assert spans is None or got == spans, text
+
+
+def test_further_kinds_against_plain(spark):
+    """iban, ssn and secret by plain code: candidates, checks, context, no overlaps."""
+    import random
+    import re
+
+    r = random.Random(12)
+    valid = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR1420041010050500013M02606", "DE88370400440532013000", "XX00", "NO9386011117947"]
+    pieces = [*valid, "123-45-6789", "12-34", "0123456789abcdef" * 2, "f" * 64, "e" * 31, "ssn", "social", "token:", "bank", " ", " ", ".", "\u00e9", "word", "A", "5", "x" * 50]
+    texts = [(k, r.choice(["", " "]).join(r.choices(pieces, k=r.choice([1, 3, 8])))) for k in range(400)]
+    lengths = {c: n for n, names in pii.LENGTHS.items() for c in names.split()}
+
+    def number_passes(text):
+        x = text.replace(" ", "")
+        return (len(x) == lengths[x[:2]] if x[:2] in lengths else 15 <= len(x) <= 34) and int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+    def expected(text):
+        out = []
+        for m in re.finditer(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}", text):
+            tail = re.match(r"(?: ?[A-Z0-9]){11,30}[A-Za-z0-9]?", text[m.end() :])
+            words = (m[0] + tail[0]).split(" ") if tail else []
+            ends = [" ".join(words[:k]) for k in range(1, len(words) + 1)]
+            ends = [x for x in ends if re.fullmatch("[A-Z0-9 ]+", x) and number_passes(x)]
+            if ends and all(e <= m.start() for kind, _, e in out if kind == "iban"):
+                out.append(("iban", m.start(), m.start() + len(ends[-1])))
+        for kind, form, words in (("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "ssn|social|security|tax"), ("secret", r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])", "token|secret|key|password|passwd|auth")):
+            for m in re.finditer(form, text):
+                near = text[max(0, m.start() - 40) : m.start()] + " " + text[m.end() : m.end() + 40]
+                if re.search(words, near.lower()):
+                    out.append((kind, *m.span()))
+        return sorted(out)
+
+    found = pii.find(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    got = {x.doc_id: sorted((s.kind, s.start, s.end) for k in ("iban", "ssn", "secret") for s in x[f"spans_{k}"]) for x in found}
+    assert got == {k: expected(t) for k, t in texts}
+    assert {k for spans in got.values() for k, _, _ in spans} == {"iban", "ssn", "secret"}
