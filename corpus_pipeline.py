@@ -3,6 +3,13 @@
 toxicity: documents that the classifier rejects go. line_dedup: lines on many sites stay once; documents
 that lose all their lines go. near_duplicates: of each group of near copies the smallest doc_id stays.
 mixing: each source's words come to its target. packing: token sequences.
+
+Cases, for all stages: columns beyond those of documents are kept by all but packing, whatever their names; an empty table gives an
+empty result; texts of any length are read whole. toxicity: a null or empty text gets the score of the
+intercept, rows that repeat an id go or stay together, rows without an id stay. line_dedup: a null or empty text stays; ties
+of equal lines go to the smallest doc_id. near_duplicates: texts without words and rows without an id stay, of
+rows that repeat an id one stays. mixing: a text without words is not taken, rows equal in id and text share
+what is left over. packing: a null or empty text is the end token alone, rows that repeat are packed each.
 """
 
 from __future__ import annotations
