@@ -1,7 +1,7 @@
 import re
 
 import pytest
-from lumenfold.llm import urls
+from lumenfold.llm import hot, urls
 
 
 def parts(url):
@@ -41,7 +41,11 @@ def page(k, host, path, *links):
     return (k, f"http://{host}{path}", " ".join(f'<a href="https://{x}/q">x</a>' for x in links))
 
 
-def test_propagation(spark):
+@pytest.mark.parametrize("split", [False, True])
+def test_propagation(spark, monkeypatch, split):
+    if split:
+        monkeypatch.setattr(hot, "HOT_ROWS", 1)
+        monkeypatch.setattr(urls, "BROADCAST_BYTES", 0)
     rows = [page(0, "bad.example.com", "/de/", "x.com"), page(1, "farm.com", "/", "bad.example.com", "bad.example.com"), page(2, "second.com", "/", "farm.com"), page(3, "good.org", "/fr/", "fine.com"), page(4, "fine.com", "/"), page(5, "both.com", "/", "fine.com"), page(6, "x.com", "/")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.host: r.verdict for r in urls.judge(pages).collect()}
@@ -64,6 +68,31 @@ def test_ranks_equal_plain(spark):
             assert got.get((kind, h), 0) == pytest.approx(w)
 
 
+def test_hot_hosts_are_dealt_over_parts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(1000).select(F.when(F.col("id") < 900, "hub").otherwise(F.concat(F.lit("h"), "id")).alias("host"), "id")
+    counted = rows.groupBy("host").agg(F.count("*").alias("n"))
+    monkeypatch.setattr(hot, "HOT_ROWS", 100)
+    keys = hot.hot_keys(counted, ["host"], 1000)
+    assert [tuple(r) for r in keys.collect()] == [("hub", 9)]
+    values = counted.where("n > 1 or host = 'h950'")
+    joined = hot.join_split(rows, values, ["host"], keys, ["id"], "left").collect()
+    assert sorted(r.id for r in joined) == list(range(1000))
+    assert all(r.n == (900 if r.host == "hub" else 1 if r.host == "h950" else None) for r in joined)
+    assert sorted(r.id for r in hot.join_split(rows, values, ["host"], keys, ["id"]).collect()) == [*range(900), 950]
+
+
+def test_ranks_do_not_depend_on_parts(spark, monkeypatch):
+    links = [("hub", f"h{k}", 1 + k % 3) for k in range(40)] + [(f"h{k}", "hub", 1) for k in range(0, 40, 2)]
+    links = spark.createDataFrame(links, "source string, target string, links long")
+    seeds = spark.createDataFrame([("trust", "hub", 1.0), ("distrust", "h3", 1.0)], "kind string, host string, seed double")
+    ranks = lambda: {(r.kind, r.host): r["rank"] for r in urls.propagate(links, seeds, 5).collect()}
+    want = ranks()
+    monkeypatch.setattr(hot, "HOT_ROWS", 3)
+    assert ranks() == pytest.approx(want)
+
+
 def test_long_chain(spark):
     rows = [page(0, "bad.example.com", "/de/"), page(1, "h1.com", "/", "bad.example.com")]
     rows += [page(k, f"h{k}.com", "/", f"h{k - 1}.com") for k in range(2, 13)]
