@@ -1,4 +1,5 @@
 import re
+from collections import defaultdict
 
 import corpus_pipeline
 import pytest
@@ -37,14 +38,38 @@ def test_one_of_each_group_stays(outputs):
     assert sorted(str(r.doc_id) for r in after) == sorted(groups)
 
 
-def test_counts_are_new(outputs):
-    assert all(r.n_chars == len(r.text) for r in outputs["mixing"].collect())
+def test_lines_go_as_in_plain(outputs):
+    from tests.llm.test_lines import plain
+
+    want = [(i, text) for i, _, removed, text in plain(outputs["toxicity"].collect(), 5) if not removed or text.strip(" ")]
+    assert sorted(((str(r.doc_id), r.text) for r in outputs["line_dedup"].collect()), key=str) == sorted(want, key=str)
+
+
+def test_mixing_takes_copies_and_one_part(outputs):
+    from tests.llm.test_mixing import goals
+
+    words = lambda x: re.findall(r"[^\x20\x09-\x0D]+", x or "")
+    before = {r.doc_id: r for r in outputs["near_duplicates"].collect()}
+    sizes, taken, parts = defaultdict(int), defaultdict(int), defaultdict(list)
+    for r in before.values():
+        sizes[r.source] += len(words(r.text))
+    for r in outputs["mixing"].collect():
+        assert r.source == before[r.doc_id].source and r.n_chars == len(r.text)
+        taken[r.source] += len(words(r.text))
+        parts[r.doc_id].append(r.text)
+    for i, texts in parts.items():
+        cut = [x for x in texts if x != before[i].text]
+        assert len(cut) <= 1 and len(texts) <= 3
+        assert all(words(x) == words(before[i].text)[: len(words(x))] for x in cut)
+    assert all(abs(taken[s] - x) <= 1 for s, x in goals(sizes).items())
 
 
 def test_packing_holds_all(outputs):
+    from tests.llm.test_packing import check
+
     rows = outputs["packing"].collect()
     assert all(r.length == len(r.ids) // 4 for r in rows)
-    assert {r.doc_id for r in rows} == {r.doc_id for r in outputs["mixing"].collect()}
+    assert check(rows, [(r.doc_id, r.text) for r in outputs["mixing"].collect()]) == 0
 
 
 def test_run_gives_the_stages_rows(spark, outputs):
