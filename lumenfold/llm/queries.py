@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import jaccard, lines, mixing, packing, pii, quality, simhash, topk, toxicity, urls
+from lumenfold.llm import audit, centroids, jaccard, lines, mixing, packing, pii, quality, simhash, tiles, topk, toxicity, urls
 from lumenfold.sources import table
 
 
@@ -51,7 +51,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_line_dedup, op4_mixing, op5_jaccard_join, op6_bm25_topk, op7_url_filter, op8_pii, op9_simhash, op10_quality)}
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_line_dedup, op4_mixing, op5_jaccard_join, op6_bm25_topk, op7_url_filter, op8_pii, op9_simhash, op10_quality, op11_simhash_dedup, op12_filter_audit, op13_centroids)}
 
 #: Same rows as op3: exact distinct counts stand for the sketches, which are exact near the threshold.
 OP3_SQL = r"""
@@ -96,4 +108,36 @@ steps AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reached(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, s.b FROM reached r JOIN steps s ON s.a = r.other)
 SELECT doc_id, n::BIGINT AS n_shingles, component_id FROM sizes JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) USING (doc_id)"""
 
-ORACLE_SQL = {"op5_jaccard_join": OP5_SQL, "op6_bm25_topk": OP6_SQL, "op3_line_dedup": OP3_SQL, "op4_mixing": OP4_SQL}
+#: Same rows as op12: each order by the step at which a document is removed, without a lattice.
+OP12_SQL = r"""
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+known AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+judged AS (SELECT part, [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words), 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text), regexp_matches(text, '[#$%&*|]'),
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM texts LEFT JOIN known USING (doc_id)),
+counted AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM judged GROUP BY ALL),
+one AS (SELECT unnest(range(1, 6)) AS f),
+orders AS (SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM one a, one b, one c, one d, one e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+gone AS (SELECT *, coalesce(list_position([fails[x] FOR x IN o], true), 6) AS lost FROM counted, orders),
+steps AS (SELECT part, o, step, o[step] AS f, (coalesce(sum(n) FILTER (WHERE lost > step), 0))::BIGINT AS kept, (coalesce(sum(n) FILTER (WHERE lost = step), 0))::BIGINT AS removed,
+    (coalesce(sum(n) FILTER (WHERE lost < step AND fails[o[step]]), 0))::BIGINT AS redundant, (coalesce(sum(n) FILTER (WHERE fails[o[step]] AND len(list_filter(fails, lambda x: x)) = 1), 0))::BIGINT AS unique_fails,
+    (coalesce(sum(good) FILTER (WHERE lost = step), 0))::BIGINT AS good_lost, (coalesce(sum(toxic) FILTER (WHERE lost = step), 0))::BIGINT AS toxic_lost
+  FROM gone, (SELECT unnest(range(1, 6)) AS step) GROUP BY part, o, step)
+SELECT part, array_to_string([substr('ABCDE', x::INTEGER, 1) FOR x IN o], '') AS filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM steps"""
+
+
+def _op13_sql(k: int, rounds: int) -> str:
+    """The rounds of op13 one after the other, each vector against each centroid."""
+    near = "SELECT vec_id, c, sum((v.x - m.x) * (v.x - m.x)) AS d FROM v JOIN m{0} m USING (dim) GROUP BY vec_id, c"
+    pick = "a{0} AS (SELECT vec_id, arg_min(c, (d, c)) AS c, min(d) AS d FROM (" + near + ") GROUP BY vec_id)"
+    move = "m{1} AS (SELECT c, dim, coalesce(s // n - CASE WHEN s % n < 0 THEN 1 ELSE 0 END, x) AS x FROM m{0} LEFT JOIN (SELECT c, dim, sum(x)::BIGINT AS s, count(*) AS n FROM v JOIN a{0} USING (vec_id) GROUP BY c, dim) USING (c, dim))"
+    steps = [pick.format(r) + ",\n" + move.format(r, r + 1) for r in range(rounds)] + [pick.format(rounds)]
+    return f"""
+WITH v AS (SELECT vec_id, unnest(range(64)) AS dim, floor(256 * unnest(embedding)::DOUBLE)::BIGINT AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+m0 AS (SELECT c, dim, x FROM v JOIN (SELECT vec_id, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c FROM (SELECT DISTINCT vec_id FROM v) QUALIFY c < {k}) USING (vec_id)),
+{(", " + chr(10)).join(steps)},
+named AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY dim)) AS centroid_sha256 FROM m{rounds} GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256 FROM a{rounds} JOIN named USING (c)"""
+
+
+ORACLE_SQL = {"op12_filter_audit": OP12_SQL, "op13_centroids": _op13_sql(centroids.K, centroids.ROUNDS), "op5_jaccard_join": OP5_SQL, "op6_bm25_topk": OP6_SQL, "op3_line_dedup": OP3_SQL, "op4_mixing": OP4_SQL}
