@@ -13,7 +13,7 @@ value that very many fingerprints share is held by no task; the pairs themselves
 
 Cases: a null or empty text, or one without words, has the fingerprint of no vote (all bits 0); equal texts have
 equal fingerprints; a text that repeats gives its row each; extra columns are ignored; texts of any length are
-read whole; an empty table gives no row. A doc_id must be a whole number or null for `edit_test`.
+read whole; an empty table gives no row. A doc_id must be a whole number or null for `edit_test`, any that a long can hold.
 """
 
 from __future__ import annotations
@@ -192,10 +192,11 @@ def _ranges(docs: DataFrame) -> DataFrame:
     if parts == 1 or found[0] is None:
         return docs.withColumn("range", F.lit(0))
     edges = sorted({found[0], *found[2]})
-    bounds = F.array(*[F.lit(x).cast("long") for x in [*edges, found[1] + 1]])
-    at = F.greatest(F.size(F.filter(bounds, lambda x: x <= F.col("doc_id"))), F.lit(1))
-    low, high = F.element_at(bounds, at), F.element_at(bounds, at + 1)
-    step = F.floor((F.col("doc_id") - low) * float(steps) / (high - low))
+    listed = lambda of: F.array(*[F.lit(x).cast("long") for x in of])
+    at = F.greatest(F.size(F.filter(listed(edges), lambda x: x <= F.col("doc_id"))), F.lit(1))
+    place = lambda c: c.cast("double")  # noqa: E731  differences of longs may not fit a long; rounded places still ascend with the id
+    low, high = place(F.element_at(listed(edges), at)), place(F.element_at(listed([*edges[1:], found[1]]), at))
+    step = F.floor((place(F.col("doc_id")) - low) * float(steps) / F.greatest(high - low, F.lit(1.0))).cast("long")
     return docs.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise((at - 1) * steps + F.least(step, F.lit(steps - 1))).cast("long"))
 
 
@@ -208,7 +209,7 @@ def edit_test(docs: DataFrame) -> DataFrame:
     """
     whole_numbers(docs)
     rows = _ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("tie"))
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.xxhash64("text").alias("tie"))
     rows = rows.withColumn("place", place)
     heads = rows.groupBy("range").agg(F.max("place").alias("place"))  # a row a range
     before = Window.orderBy(F.col("range").asc())

@@ -44,6 +44,21 @@ def test_odd_rows(odd, empty):
     assert found(empty) == []
 
 
+@pytest.mark.parametrize("n", [5_000, 12_000])
+def test_ids_over_the_whole_range_of_long(spark, n, monkeypatch):
+    ends = [(1 << 63) - 1, (1 << 63) - 2, -(1 << 63), 1 - (1 << 63), 0, None]
+    rows = spark.range(n).selectExpr("xxhash64(id) AS doc_id", "concat('text ', id, ' of some words ', id % 7) AS text").unionByName(spark.createDataFrame([(x, f"at {x}") for x in ends], "doc_id long, text string"))
+    monkeypatch.setattr(simhash, "QUANTILES", 2)
+    assert found(rows) == plain(rows.collect())
+    assert found(rows.where("doc_id > 9223372036854775805 or doc_id is null")) == plain(rows.where("doc_id > 9223372036854775805 or doc_id is null").collect())
+
+
+def test_ids_that_doubles_do_not_tell_apart(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "RANGE_ROWS", 50)
+    rows = spark.range(400).selectExpr("9223372036854775807 - id * 3 AS doc_id", "concat('text ', id) AS text")
+    assert found(rows) == plain(rows.collect())
+
+
 def test_equal_texts(docs):
     prints = {r.doc_id: r.fingerprint for r in simhash.fingerprint(docs).collect()}
     by_text = {}
