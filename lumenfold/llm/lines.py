@@ -38,7 +38,9 @@ def _row() -> list[Column]:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    exploded = docs.where(F.col("text").isNotNull()).select(*_row(), F.coalesce("source", F.lit("")).alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    # the text is hashed before its lines are made rows: what stands beside explode is computed, and carried along, a line
+    split = docs.where(F.col("text").isNotNull()).select(*_row(), F.coalesce("source", F.lit("")).alias("site"), F.split("text", "\n", -1).alias("lines"))
+    exploded = split.select("_id", "_text_hash", "site", F.posexplode("lines").alias("pos", "line"))
     trimmed = exploded.withColumn("line", F.btrim("line", F.lit(_BLANKS))).where("line <> ''")
     return trimmed.select("_id", "_text_hash", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
@@ -53,7 +55,11 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
         .where(F.col("sites") >= min_sites - margin)
     )
     near = spread.where(F.col("sites") <= min_sites + margin)
-    exact = lines.join(near.select("h1", "h2"), ["h1", "h2"]).groupBy("h1", "h2").agg(F.count_distinct("site").alias("exact")).where(F.col("exact") >= min_sites)
+    if near.count() <= BROADCAST_LINES:
+        sites = lines.join(F.broadcast(near.select("h1", "h2")), ["h1", "h2"]).select("h1", "h2", "site").distinct()
+    else:  # a line's occurrences on a site are combined before they are sent, so a line in all documents is no long task
+        sites = lines.select("h1", "h2", "site").distinct().join(near.select("h1", "h2"), ["h1", "h2"])
+    exact = sites.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("exact")).where(F.col("exact") >= min_sites)
     sure = spread.where(F.col("sites") > min_sites + margin).select("h1", "h2", "first", "n")
     return sure.unionByName(near.join(exact, ["h1", "h2"]).select("h1", "h2", "first", "n"))
 

@@ -50,9 +50,34 @@ def test_clashing_names_and_bounded_broadcast(odd, docs, monkeypatch):
 
 
 def test_text_of_many_lines(spark):
-    rows = [(k, "\n".join(f"line {n}" for n in range(200_000)), "en", f"s{k}", 0) for k in range(3)]
+    rows = [(k, "\n".join(f"line {n}" for n in range(200_000)), "en", f"s{k}", 0) for k in range(5)]
     got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in lines.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), 2).collect()}
-    assert got[0] == (200_000, 0, rows[0][1]) and got[1] == got[2] == (200_000, 200_000, "")
+    assert got[0] == (200_000, 0, rows[0][1]) and got[1] == got[4] == (200_000, 200_000, "")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+
+
+def test_lines_do_not_carry_their_text(docs):
+    """The text is no output of the Generate, and is hashed below it."""
+    plan = plan_of(lines._lines(docs))
+    at = next(k for k, x in enumerate(plan) if "Generate posexplode" in x)
+    assert not any("xxhash64(text" in x for x in plan[:at]) and any("xxhash64(text" in x for x in plan[at + 1 :])
+    assert "text#" not in plan[at].split("false, [")[1]
+
+
+def test_exact_counts_are_combined_before_they_are_sent(spark, docs, monkeypatch):
+    """Beyond the broadcast, an aggregation by line and site stands below the join with the lines near the threshold."""
+    monkeypatch.setattr(lines, "BROADCAST_LINES", 0)
+    sent = []
+    once = lines.written
+    monkeypatch.setattr(lines, "written", lambda df: sent.append(df) or once(df))
+    lines.remove_boilerplate(docs, 2)
+    plan = plan_of(sent[1])  # the first is the sketches
+    join = next(k for k, x in enumerate(plan) if "Join Inner, ((h1" in x and "LeftSemi" not in x)
+    deeper = [x for x in plan[join:] if "Aggregate [h1" in x and "site" in x]
+    assert deeper and found(docs, 2) == plain(docs.collect(), 2)
 
 
 def test_sql(spark):
