@@ -2,7 +2,9 @@
 
 All in DataFrame functions. For each kind, the gaps between matches (split) and the matches (extract_all)
 of one expression give the places by adding up lengths in code points. Possessive forms make the
-expressions linear and free of recursion on texts of any length; they match what the plain forms match.
+expressions linear and free of recursion on texts of any length; they match what the plain forms match. Matches are gone
+through in runs of RUN and contexts are read from pieces of the text, so that a text takes time in proportion to its length
+and its matches.
 
 An account number (iban) may be followed by a space and more capitals or digits, so the expression gives only
 its start and the run of signs after it; the end is the place between words of the run at which the number has its
@@ -22,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CONTEXT, THRESHOLD = 40, 0.5
+#: Items that are gathered in one array before it is copied, and code points of a piece of a text.
+RUN, PIECE = 256, 1_024
 BASE = ("email", "ip", "card", "phone")
 
 # The patterns of the kinds.
@@ -60,18 +64,37 @@ CHECKED, UNCHECKED, RAISE = 0.7, 0.4, 0.3
 _SPANS = "array<struct<start:int,end:int,text:string>>"
 
 
+def bound(value: Column, body) -> Column:
+    """body(value), in which `value` is computed once however often it stands there."""
+    return F.transform(F.array(value), body)[0]
+
+
+def scanned(items: Column, zero: Column, step) -> Column:
+    """What `step` gathers over the items of an array: step(acc, item) gives acc (at: the state, from `zero` on; out: an array of spans) anew.
+
+    An array that grows by one is copied each time, so each run of RUN items gathers its own; the runs' arrays are joined at the end.
+    """
+    run = F.array().cast(f"array<struct<at:int,out:{_SPANS}>>")
+    state = lambda done: F.struct(F.coalesce(F.try_element_at(done, F.lit(-1))["at"], zero).alias("at"), F.array().cast(_SPANS).alias("out"))
+
+    def gathered(items: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor(F.size(items) / RUN).cast("int")), lambda k: F.slice(items, k * RUN + 1, F.lit(RUN)))
+        return F.flatten(F.transform(F.aggregate(runs, run, lambda done, part: F.array_append(done, F.aggregate(part, state(done), step))), lambda x: x["out"]))
+
+    return bound(items, gathered)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """start, end (exclusive) and text of the leftmost matches that don't overlap."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["gap"])
         end = begin + F.length(x["hit"])
         return F.struct(F.coalesce(end, acc["at"]).alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("text")))).alias("out"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    return scanned(pairs, F.lit(0), step)
 
 
 def luhn(digits: Column) -> Column:
@@ -100,11 +123,11 @@ def ibans(text: Column) -> Column:
         found = F.try_element_at(F.filter(ends, lambda x: F.replace(x, F.lit(" "), F.lit("")).rlike(_FORM) & mod97(x)), F.lit(-1))
         return F.struct(head["start"].alias("start"), (head["start"] + F.length(found)).alias("end"), found.alias("text"))
 
-    def step(out: Column, x: Column) -> Column:
-        free = F.coalesce(F.try_element_at(out, F.lit(-1))["end"], F.lit(0)) <= x["start"]
-        return F.when(x["text"].isNotNull() & free, F.array_append(out, x)).otherwise(out)
+    def step(acc: Column, x: Column) -> Column:
+        taken = x["text"].isNotNull() & (acc["at"] <= x["start"])
+        return F.struct(F.when(taken, x["end"]).otherwise(acc["at"]).alias("at"), F.when(taken, F.array_append(acc["out"], x)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(F.zip_with(matches(text, PATTERNS["iban"]), tails, number), F.array().cast(_SPANS), step)
+    return scanned(F.zip_with(matches(text, PATTERNS["iban"]), tails, number), F.lit(0), step)
 
 
 def checked(kind: str, text: Column) -> Column:
@@ -119,18 +142,28 @@ def checked(kind: str, text: Column) -> Column:
     return mod97(text) if kind == "iban" else F.lit(True) if kind == "email" else F.lit(None).cast("boolean")
 
 
+def _cut(pieces: Column, start: Column, size: Column) -> Column:
+    """`size` (PIECE at most) code points of a text in pieces, from `start` on."""
+    first = F.floor(start / PIECE).cast("int")
+    both = F.concat(F.coalesce(F.get(pieces, first), F.lit("")), F.coalesce(F.get(pieces, first + 1), F.lit("")))
+    return F.substring(both, start - first * PIECE + 1, size)
+
+
 def spans_of(text: Column, kind: str) -> Column:
     """Array of kind, start, end, text and score: the spans of one kind."""
-    near = lambda x: F.lower(F.concat_ws(" ", F.substring(text, F.greatest(x["start"] - CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT))), F.substring(text, x["end"] + 1, F.lit(CONTEXT))))
 
-    def scored(x: Column) -> Column:
+    def scored(x: Column, pieces: Column) -> Column:
+        before = F.least(x["start"], F.lit(CONTEXT))
+        near = F.lower(F.concat_ws(" ", _cut(pieces, x["start"] - before, before), _cut(pieces, x["end"], F.lit(CONTEXT))))
         score = F.coalesce(F.when(checked(kind, x["text"]), F.lit(CHECKED)).otherwise(F.when(~checked(kind, x["text"]), F.lit(0.0))), F.lit(UNCHECKED))
-        score = F.when(score > 0, score + F.when(near(x).rlike(WORDS[kind]), RAISE).otherwise(0.0)).otherwise(score)
+        score = F.when(score > 0, score + F.when(near.rlike(WORDS[kind]), RAISE).otherwise(0.0)).otherwise(score)
         return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), score.alias("score"))
 
     hits = ibans(text) if kind == "iban" else matches(text, PATTERNS[kind])
-    found = F.filter(F.transform(hits, scored), lambda x: x["score"] >= THRESHOLD)
-    return F.when(text.rlike(HINTS[kind]), found).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,text:string,score:double>>"))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,text:string,score:double>>")
+    found = bound(hits, lambda h: F.when(F.size(h) > 0, bound(pieces, lambda p: F.filter(F.transform(h, lambda x: scored(x, p)), lambda x: x["score"] >= THRESHOLD))).otherwise(none))
+    return F.when(text.rlike(HINTS[kind]), found).otherwise(none)
 
 
 def find(docs: DataFrame, kinds: tuple = tuple(PATTERNS)) -> DataFrame:

@@ -40,6 +40,21 @@ def test_odd_rows(spark, odd, empty):
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
 
 
+def test_text_of_many_matches(spark):
+    """Places over many runs of matches, contexts over the edges of pieces; 40,000 addresses took minutes when each match copied the list."""
+    many = " ".join(f"user{k}@example{k % 7}.com \u00e9\U0001f600" for k in range(40_000))
+    check(spark.createDataFrame([(1, many), (2, "+12 345 678 901 or 10.0.0.1, " * 700)], "doc_id long, text string"))
+    de = "DE89370400440532013000"
+    found = pii.digests(spark.createDataFrame([(1, f"{de} " * 1_000)], "doc_id long, text string")).first().spans
+    assert [x for x in found.split(",") if x[:4] == "iban"] == [f"iban:{23 * k}:{23 * k + 22}" for k in range(1_000)]
+    for shift in range(1_000, 1_030):  # a context word on either side of a piece's end
+        texts = ["x" * shift + " ssn 123-45-6789 y", "x" * shift + " 123-45-6789 ssn", "x" * (shift - 100) + " ssn " + "y" * 39 + " 123-45-6789"]
+        spans = [pii.spans_of(pii.F.lit(t), "ssn").alias(f"t{k}") for k, t in enumerate(texts)]
+        if shift % 6 == 0:
+            got = spark.range(1).select(*spans).first()
+            assert [[(x.start, x.end) for x in row] for row in got] == [[(shift + 5, shift + 16)], [(shift + 1, shift + 12)], []]
+
+
 def test_checks_and_context(spark):
     texts = ["iban DE89 3704 0044 0532 0130 00 ok", "code DE88 3704 0044 0532 0130 00 ok", "my ssn is 123-45-6789", "part 123-45-6789", "token = \"" + "ab12" * 10 + "\"", "commit " + "ab12" * 10]
     rows = [r.spans for r in pii.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
