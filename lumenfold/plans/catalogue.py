@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import revenue
 from lumenfold.operators.constant import constant_greeting
+from lumenfold.plans import temporal
 from lumenfold.sources import table
 
 
@@ -48,7 +49,7 @@ def ext_events_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy("day", "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-QUERIES = {"r1_constant_greeting": r1_constant_greeting, "ext_pricing_summary": ext_pricing_summary, "ext_revenue_by_region": ext_revenue_by_region, "ext_events_by_day": ext_events_by_day}
+QUERIES = {"r1_constant_greeting": r1_constant_greeting, "ext_pricing_summary": ext_pricing_summary, "ext_revenue_by_region": ext_revenue_by_region, "ext_events_by_day": ext_events_by_day, **temporal.QUERIES}
 
 ORACLE_SQL = {
     "r1_constant_greeting": "SELECT 'Hello World!' AS greeting",
@@ -60,4 +61,5 @@ ORACLE_SQL = {
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""",
     "ext_events_by_day": """
         SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL""",
+    **temporal.ORACLE_SQL,
 }
