@@ -6,9 +6,10 @@ the target is a weighted sample without replacement: a document with quality w a
 from a hash of its id has the key -ln(u) / w, and the smallest keys are taken until the prefix sum of
 their sizes reaches the budget; the document on the boundary gives the words that are left.
 
-A source is never sorted as a whole: its keys fall into ranges of about RANGE_ROWS rows, whose sums are
-added up, and only the one range in which the budget ends is sorted. So a hot source costs no long task.
-What is then joined to the rows is one row a source: its epochs and the key at which the sample ends.
+A source is never sorted as a whole: its keys are counted in BINS bins between the smallest and the largest, the bins' words are
+added up, and the bin in which the budget ends is counted in bins again, until it holds RANGE_ROWS rows or keys that are all
+equal; only that is sorted. So a hot source costs no long task, however its qualities are spread; a round reads the slim rows once,
+and there are about log(rows) / log(BINS) of them. What is then joined to the rows is one row a source: its epochs and the key at which the sample ends.
 
 Cases: a null or empty text has size 0 and takes 0; sources are ordered by code point, null last; rows
 that are equal in doc_id and text share what the boundary leaves equally; a null doc_id counts as an empty id;
@@ -20,9 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.scratch import written
+from lumenfold.llm.scratch import forget, written
 
-WEIGHTS, MAX_EPOCHS, RANGE_ROWS = (5, 2, 1), 3, 4096
+WEIGHTS, MAX_EPOCHS, RANGE_ROWS, BINS = (5, 2, 1), 3, 4096, 4096
 #: Sources up to which one row each is broadcast (about 100 MB).
 BROADCAST_SOURCES = 500_000
 
@@ -48,7 +49,7 @@ def key_of(doc_id: Column, quality: Column) -> Column:
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, key and tie of every row."""
     text = F.col("text")
-    return docs.select("doc_id", "source", size_of(text).alias("size"), key_of(F.col("doc_id"), quality_of(text)).alias("key"), F.xxhash64("text").alias("tie"), quality_of(text).alias("quality"))
+    return docs.select("doc_id", "source", size_of(text).alias("size"), key_of(F.col("doc_id"), quality_of(text)).alias("key"), F.xxhash64("text").alias("tie"))
 
 
 def targets(totals: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -66,22 +67,39 @@ def targets(totals: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_E
     return ordered.withColumn("level", level).withColumn("target", F.least("full", F.max("level").over(every) * F.col("weight"))).drop("weight", "full", "level")
 
 
+def _within(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """The rows with words whose keys lie between low and high of their source in `ends` (one row a source)."""
+    few = ends.count() <= BROADCAST_SOURCES
+    return rows.where("size > 0").join(F.broadcast(ends) if few else ends, F.col("source").eqNullSafe(F.col("e_source")) & F.col("key").between(F.col("low"), F.col("high")))
+
+
+def _narrowed(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """`ends` with low and high of the bin in which the budget ends, base, the words before it, and n, its rows."""
+    at = F.when(F.col("high") > F.col("low"), F.floor((F.col("key") - F.col("low")) / (F.col("high") - F.col("low")) * BINS)).otherwise(0)
+    binned = _within(rows, ends).withColumn("bin", F.least(at, F.lit(BINS - 1)))  # ascends with the key
+    sums = binned.groupBy("e_source", "budget", "base", "bin").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+    sums = sums.withColumn("upto", F.col("base") + F.sum("words").over(Window.partitionBy("e_source").orderBy("bin")))  # BINS rows a source
+    last = sums.where("upto >= budget and upto - words < budget")
+    return last.select("e_source", "budget", "low", "high", (F.col("upto") - F.col("words")).alias("base"), "n")
+
+
+def ends(rows: DataFrame, goals: DataFrame) -> DataFrame:
+    """One row a source with a budget: low and high of the keys among which it ends, and base, the words before them."""
+    found = written(goals.where("budget > 0").select(F.col("source").alias("e_source"), "budget", "low", "high", F.lit(0).cast("long").alias("base"), "n"))
+    while not found.where((F.col("n") > RANGE_ROWS) & (F.col("high") > F.col("low"))).isEmpty():
+        before, found = found, written(_narrowed(rows, found))
+        forget(before)
+    return found
+
+
 def plan(rows: DataFrame) -> DataFrame:
     """One row a source: source_size, target, epochs, and where its sample ends (cut_key, cut_tie, cut_words)."""
-    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"), F.avg("quality").alias("rate"))
+    worded = F.when(F.col("size") > 0, F.col("key"))
+    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(worded).alias("n"), F.min(worded).alias("low"), F.max(worded).alias("high"))
     words = F.floor(F.col("target") + 0.5)
     goals = targets(totals).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0).cast("long"))
     goals = written(goals.withColumn("budget", (words - F.col("epochs") * F.col("source_size")).cast("long")))
-    few = goals.count() <= BROADCAST_SOURCES
-    small = goals.select(F.col("source").alias("g_source"), "n", "rate", "budget").where("budget > 0")
-    ranged = rows.where("size > 0").join(F.broadcast(small) if few else small, F.col("source").eqNullSafe(F.col("g_source")))
-    count = F.greatest(F.lit(1), F.ceil(F.col("n") / RANGE_ROWS))
-    ranged = ranged.withColumn("range", F.least(count - 1, F.floor((1 - F.exp(-F.col("key") * F.col("rate"))) * count)))
-    sums = ranged.groupBy("source", "range", "budget").agg(F.sum("size").alias("words"))
-    sums = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("range")))
-    last = sums.where("upto >= budget and upto - words < budget").select(F.col("source").alias("l_source"), F.col("range").alias("l_range"), (F.col("upto") - F.col("words")).alias("base"))
-    inner = ranged.join(last, F.col("source").eqNullSafe(F.col("l_source")) & (F.col("range") == F.col("l_range")))
-    inner = inner.groupBy("source", "budget", "base", "key", "tie").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("equal"))
+    inner = _within(rows, ends(rows, goals)).groupBy("source", "budget", "base", "key", "tie").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("equal"))
     inner = inner.withColumn("upto", F.col("base") + F.sum("words").over(Window.partitionBy("source").orderBy("key", "tie")))
     cuts = inner.where("upto >= budget and upto - words < budget").select(F.col("source").alias("c_source"), F.col("key").alias("cut_key"), F.col("tie").alias("cut_tie"), F.floor((F.col("budget") - F.col("upto") + F.col("words")) / F.col("equal")).alias("cut_words"))
     return written(goals.join(cuts, F.col("source").eqNullSafe(F.col("c_source")), "left").select(F.col("source").alias("p_source"), "source_size", "target", "epochs", "cut_key", "cut_tie", "cut_words"))

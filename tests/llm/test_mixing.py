@@ -54,6 +54,7 @@ def test_odd_rows(odd, empty):
 def test_ranges_do_not_matter(docs, monkeypatch):
     whole = sorted(mixing.mix(docs).collect())
     monkeypatch.setattr(mixing, "RANGE_ROWS", 2)
+    monkeypatch.setattr(mixing, "BINS", 7)
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
     assert sorted(mixing.mix(docs).collect()) == whole
 
@@ -73,3 +74,28 @@ def test_better_documents_are_taken_more_often(spark):
     part = [r for r in mixing.mix(df).collect() if r.target < r.source_size]
     good, bad = (sum(r.taken > 0 for r in part if r.doc_id % 2 == k) for k in (1, 0))
     assert good > 2 * bad
+
+
+@pytest.mark.parametrize("low", [0.05, 0.001])
+def test_no_range_is_larger_with_uneven_qualities(spark, low, monkeypatch):
+    """A tenth of a source's rows has a far lower quality, so their keys lie far apart; the bin in which the budget ends stays bounded."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 500)
+    monkeypatch.setattr(mixing, "BINS", 64)
+    quality = mixing.F.when(mixing.F.col("doc_id") % 10 == 0, low).otherwise(1.0)
+    rows = spark.range(60_000).select(mixing.F.col("id").alias("doc_id"), mixing.F.when(mixing.F.col("id") % 5 == 0, "b").otherwise("a").alias("source"), mixing.F.lit(3).cast("long").alias("size"), mixing.F.lit(0).cast("long").alias("tie"))
+    rows = rows.withColumn("key", mixing.key_of(mixing.F.col("doc_id"), quality)).persist()
+    for budget in (5, 60_000, 140_000, 143_990):
+        goals = rows.groupBy("source").agg(mixing.F.count(mixing.F.lit(1)).alias("n"), mixing.F.min("key").alias("low"), mixing.F.max("key").alias("high")).withColumn("budget", mixing.F.least(mixing.F.lit(budget), mixing.F.col("n") * 3 - 1).cast("long"))
+        for r in mixing.ends(rows, goals).collect():
+            keys = sorted(x.key for x in rows.where(mixing.F.col("source") == r.e_source).select("key").collect())
+            inside = [k for k in keys if r.low <= k <= r.high]
+            assert len(inside) == r.n <= 500 and r.base == 3 * sum(k < r.low for k in keys) < r.budget <= r.base + 3 * len(inside)
+    rows.unpersist()
+
+
+def test_many_rows_of_one_key(spark):
+    rows = [(7, "one two three", "en", "a", 0)] * 6000 + [(i, "one two three", "en", "b", 0) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = mixing.mix(df).collect()
+    check(df.collect(), found)
+    assert len({r.taken for r in found if r.doc_id == 7 and r.source_size == 18000}) <= 2
