@@ -1,10 +1,5 @@
-"""Structured Streaming counterparts."""
+"""Structured Streaming: windows and sessions, joins of two streams, keyed state with timers, and replays of tables."""
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from lumenfold.streaming.windows import events_by_window
 
-
-def events_by_window(events: DataFrame, length: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Counts by tumbling window and type of a stream (or table) of events; rows later than `late` are dropped by the watermark."""
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    return timed.withWatermark("ts", late).groupBy(F.window("ts", length), "event_type").agg(F.count(F.lit(1)).alias("n"))
+__all__ = ["events_by_window"]
