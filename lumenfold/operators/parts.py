@@ -31,18 +31,24 @@ def place(column: Column, kind: T.DataType) -> Column:
     raise TypeError(f"a time, date or number is needed, not {kind.simpleString()}")
 
 
-def hot_keys(rows: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> tuple[list, int]:
+def hot_keys(rows: DataFrame, keys: list[str], limit: int = HOT_ROWS, null_is_key: bool = False) -> tuple[list, int]:
     """Rows of the keys and n of each hot key, and the even share."""
     share = max(limit, rows.count() // MAX_HOT)
-    counted = rows.where(" and ".join(f"`{k}` is not null" for k in keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    known = rows if null_is_key else rows.where(" and ".join(f"`{k}` is not null" for k in keys))
+    counted = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return counted.where(F.col("n") > share).collect(), share
 
 
+def _same(keys: list[str]) -> list[Column]:
+    """Equal keys of a table and of one whose keys are named with h before them; null is equal to null."""
+    return [F.col(k).eqNullSafe(F.col(f"h{k}")) for k in keys]
+
+
 def _bounds(rows: DataFrame, keys: list[str], at: str, hot: list, limit: int) -> DataFrame:
     """keys, and the quantiles (edges) and steps between two of them by which the places of a hot key are cut."""
-    spark, types = rows.sparkSession, [rows.schema[k] for k in keys]
+    spark, types = rows.sparkSession, [T.StructField(f"h{k}", rows.schema[k].dataType) for k in keys]
     named = spark.createDataFrame([tuple(r) for r in hot], T.StructType([*types, T.StructField("n", T.LongType())]))
-    spread = rows.where(F.col(at).isNotNull()).join(F.broadcast(named), keys).groupBy(*keys, "n")
+    spread = rows.where(F.col(at).isNotNull()).join(F.broadcast(named), _same(keys)).groupBy(*keys, "n")
     found = spread.agg(F.percentile_approx(at, [k / QUANTILES for k in range(QUANTILES + 1)], 20 * QUANTILES).alias("edges")).collect()  # MAX_HOT rows at most
     cut = []
     for r in found:
@@ -52,21 +58,21 @@ def _bounds(rows: DataFrame, keys: list[str], at: str, hot: list, limit: int) ->
     return spark.createDataFrame(cut, T.StructType([*types, T.StructField("_edges", T.ArrayType(T.LongType())), T.StructField("_steps", T.IntegerType())]))
 
 
-def with_parts(rows: DataFrame, keys: list[str], at: str, limit: int = HOT_ROWS) -> tuple[DataFrame, bool]:
+def with_parts(rows: DataFrame, keys: list[str], at: str, limit: int = HOT_ROWS, null_is_key: bool = False) -> tuple[DataFrame, bool]:
     """`rows` with _part, and whether a key is hot. A hot key's parts ascend with the place `at` (a long); others are one part, 0.
 
-    Rows of one key and place are in one part. Rows without a key are dealt over NULL_PARTS parts below 0.
+    Rows of one key and place are in one part. Rows without a key are dealt over NULL_PARTS parts below 0, if null isn't a key of its own.
     """
     none = F.lit(False)
-    for k in keys:
+    for k in keys if not null_is_key else []:
         none = none | F.col(k).isNull()
     if not keys:
         rows, keys = rows.withColumn("_all", F.lit(0)), ["_all"]
     keyless = F.when(none, -1 - F.pmod(F.xxhash64(at), F.lit(NULL_PARTS)).cast("int"))
-    hot, limit = hot_keys(rows, keys, limit)
+    hot, limit = hot_keys(rows, keys, limit, null_is_key)
     if not hot:
         return rows.withColumn("_part", keyless.otherwise(0)), False
-    joined = rows.join(F.broadcast(_bounds(rows, keys, at, hot, limit)), keys, "left")
+    joined = rows.join(F.broadcast(_bounds(rows, keys, at, hot, limit)), _same(keys), "left").drop(*[f"h{k}" for k in keys])
     edge = F.greatest(F.size(F.filter("_edges", lambda x: x <= F.col(at))), F.lit(1))
     low, high = F.element_at("_edges", edge).cast("double"), F.coalesce(F.try_element_at("_edges", edge + 1), F.element_at("_edges", edge)).cast("double")
     step = F.floor((F.col(at).cast("double") - low) * F.col("_steps") / F.greatest(high - low, F.lit(1.0)))

@@ -5,15 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name below spark.checkpoint.dir. Where that is unset, a session on one machine gets a temporary one; a cluster is refused."""
+def _base(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumenfold-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return f"{found}/{name}-{uuid.uuid4().hex}"
+        found = tempfile.mkdtemp(prefix="lumenfold-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below spark.checkpoint.dir. Where that is unset, a session on one machine gets a temporary one; a cluster is refused."""
+    return f"{_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` as it is now, in the shared folder, so that lost executors cost nothing that came before."""
+    _base(df.sparkSession)
+    return df.checkpoint()
