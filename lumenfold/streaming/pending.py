@@ -1,10 +1,9 @@
 """Keyed state with timers: the first answer to each call of a key within a limit, or that none came.
 
-Calls and answers of a key are kept in state by TICK of their time. When the watermark has passed a call's limit, all answers that could
-count have come, whatever the order of arrival: a timer decides the calls of one tick, looks through the ticks of the limit for each call's
-first answer, and removes what no later call can need. So the rows are those of the batch form, `first_answers`, and state
-holds about two limits of a key's rows. Each tick is read and written whole, so none holds more than its own rows; one key's
-state belongs to one task, as keyed state does.
+Calls and answers of a key are kept in state by ticks of their time. When the watermark has passed the limit of a tick's calls, all answers
+that could count have come, whatever the order of arrival: a timer decides the calls of all ticks that are due, removes what no later
+call can need, and sets the key's next timer. So the rows are those of the batch form, `first_answers`, and state holds
+about two limits of a key's rows, which is also what a timer reads at once. One key's state belongs to one task, as keyed state does.
 
 Cases: an answer at the same time as the call doesn't count, one at the limit does; of answers at one time the smallest id counts; calls that repeat are
 decided each; null keys, times and ids are left out; rows behind the watermark are dropped.
@@ -24,7 +23,7 @@ from lumenfold.operators.asof import asof_join
 
 RESULT = "key long, call_id long, called_micros long, answer_id long, micros_to_answer long"
 #: Ticks of a limit: how finely state and timers are cut.
-TICKS = 32
+TICKS = 8
 
 
 class FirstAnswer(StatefulProcessor):
@@ -38,44 +37,52 @@ class FirstAnswer(StatefulProcessor):
         kept = "at array<bigint>, id array<bigint>"
         self.calls = handle.getMapState("calls", "tick bigint", kept)
         self.answers = handle.getMapState("answers", "tick bigint", kept)
+        self.timer = handle.getValueState("timer", "ms bigint")
 
     def _due_ms(self, tick: int) -> int:
         """When all calls of a tick have passed their limit, in the milliseconds that timers know."""
         return -(-((tick + 1) * self.tick + self.limit) // 1_000)
 
+    def _wake_for(self, tick: int, set_: int | None) -> None:
+        """See that a timer is set for a tick; set_: when the next one is set."""
+        due = self._due_ms(tick)
+        if set_ is None or due < set_:
+            self.handle.registerTimer(due)
+            self.timer.update((due,))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for batch in rows:
             for (is_call, tick), part in batch.groupby([batch["is_call"], batch["at"] // self.tick]):
                 state, tick = self.calls if is_call else self.answers, int(tick)
-                at, ids = state.getValue((tick,)) if state.containsKey((tick,)) else ([], [])
+                at, ids = state.getValue((tick,)) or ([], [])
                 state.updateValue((tick,), ([*at, *part["at"].tolist()], [*ids, *part["id"].tolist()]))
-                self.handle.registerTimer(self._due_ms(tick))
+                first = tick if first is None else min(first, tick)
+        if first is not None:
+            self._wake_for(first, (self.timer.get() or (None,))[0])
         yield from ()
 
-    def _first_answer(self, at: int, ticks: dict[int, list[tuple[int, int]]]) -> tuple[int, int] | None:
-        for tick in range(at // self.tick, (at + self.limit) // self.tick + 1):
-            if tick not in ticks:
-                ticks[tick] = sorted(zip(*self.answers.getValue((tick,)), strict=True)) if self.answers.containsKey((tick,)) else []
-            after = bisect_right(ticks[tick], at, key=lambda x: x[0])
-            if after < len(ticks[tick]):
-                return ticks[tick][after] if ticks[tick][after][0] <= at + self.limit else None
-        return None
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        last = (due * 1_000 - self.limit) // self.tick - 1  # a timer of ticks shorter than a millisecond stands for several
-        out, ticks, now = [], {}, [last]
-        while self._due_ms(now[-1] - 1) == due:
-            now.append(now[-1] - 1)
-        for tick in now:
-            if self.calls.containsKey((tick,)):
-                for at, call in zip(*self.calls.getValue((tick,)), strict=True):
-                    found = self._first_answer(at, ticks)
-                    out.append((key[0], call, at, found[1] if found else -1, found[0] - at if found else -1))
-                self.calls.removeKey((tick,))
-        for tick in now:
-            if self.answers.containsKey((tick,)):  # calls that it could answer were decided before, or just now
-                self.answers.removeKey((tick,))
+        now, left, out = timerValues.getCurrentWatermarkInMs(), [], []
+        calls, answers = ({k[0]: v for k, v in state.iterator()} for state in (self.calls, self.answers))
+        known = sorted(x for v in answers.values() for x in zip(*v, strict=True))
+        for tick, v in calls.items():
+            if self._due_ms(tick) > now:
+                continue
+            for at, call in zip(*v, strict=True):
+                after = bisect_right(known, at, key=lambda x: x[0])
+                found = known[after] if after < len(known) and known[after][0] <= at + self.limit else None
+                out.append((key[0], call, at, found[1] if found else -1, found[0] - at if found else -1))
+        for state, ticks in ((self.calls, calls), (self.answers, answers)):  # calls that an answer of a tick that is due could answer are decided now, or were before
+            stay = [t for t in ticks if self._due_ms(t) > now]
+            if not stay:
+                state.clear()
+            for t in set(ticks) - set(stay) if stay else []:
+                state.removeKey((t,))
+            left += stay
+        self.timer.clear()
+        if left:
+            self._wake_for(min(left), None)
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
 

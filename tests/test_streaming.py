@@ -4,6 +4,7 @@ import datetime as dt
 import os
 import random
 
+import pandas as pd
 import pytest
 from lumenfold.operators.sessions import sessions
 from lumenfold.streaming.pairs import followed_by
@@ -99,47 +100,79 @@ def test_first_answers_of_shuffled_files(spark, batch, tmp_path):
     assert rows(found) == rows(first_answers(batch, *asked()))
 
 
-class Map:
-    """Stands for the state of one key."""
+class State:
+    """Stands for the state of one key: a map, or a value."""
 
     def __init__(self):
         self.at = {}
 
-    containsKey, getValue, updateValue, removeKey = (lambda s, k: k in s.at), (lambda s, k: s.at[k]), (lambda s, k, v: s.at.__setitem__(k, v)), (lambda s, k: s.at.pop(k))
+    def getValue(self, key):
+        return self.at.get(key)
 
+    def updateValue(self, key, value):
+        self.at[key] = value
 
-@pytest.mark.parametrize("limit", [5, 7_000, 40_000_000])
-def test_state_is_empty_in_the_end(limit):
-    """Limits down to ticks shorter than the milliseconds of timers; each timer once, in order."""
-    import pandas as pd
+    def removeKey(self, key):
+        del self.at[key]
+
+    def iterator(self):
+        return iter(list(self.at.items()))
+
+    def clear(self):
+        self.at.clear()
 
-    class Handle:
-        timers: set = set()
+    def get(self):
+        return self.at.get("value")
 
-        def getMapState(self, *_):
-            return Map()
+    def update(self, value):
+        self.at["value"] = value
+
+
+class Handle:
+    def __init__(self):
+        self.timers = set()
 
-        def registerTimer(self, ms):
-            self.timers.add(ms)
+    def getMapState(self, *_):
+        return State()
 
-    class Info:
-        def __init__(self, ms):
-            self.getExpiryTimeInMs = lambda: ms
+    getValueState = getMapState
 
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+
+class Clock:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+@pytest.mark.parametrize("limit", [5, 7_000, 40_000_000])
+def test_state_is_empty_in_the_end(limit):
+    """Limits down to ticks shorter than the milliseconds of timers; rows in order but for a fifth of the limit, the watermark behind them."""
     r = random.Random(2)
     listed = [(r.randrange(20 * limit), k, r.random() < 0.5) for k in range(300)]
-    p = FirstAnswer(limit)
-    p.init(handle := Handle())
-    handle.timers = set()
-    for k in range(0, 300, 70):
-        assert not list(p.handleInputRows((1,), iter([pd.DataFrame(listed[k : k + 70], columns=["at", "id", "is_call"])]), None))
-    out = [tuple(x) for ms in sorted(handle.timers) for frame in p.handleExpiredTimer((1,), None, Info(ms)) for x in frame.itertuples(index=False)]
+    arrived = sorted(listed, key=lambda x: x[0] + r.randrange(limit // 5 + 1))
+    p, handle, out, largest = FirstAnswer(limit), Handle(), [], 0
+    p.init(handle)
+
+    def fire(watermark):
+        for ms in sorted(t for t in handle.timers if t <= watermark):
+            handle.timers.discard(ms)
+            for frame in p.handleExpiredTimer((1,), Clock(watermark), None):
+                out.extend(frame.itertuples(index=False, name=None))
+
+    for k in range(0, 300, 10):
+        assert not list(p.handleInputRows((1,), iter([pd.DataFrame(arrived[k : k + 10], columns=["at", "id", "is_call"])]), None))
+        fire((max(x[0] for x in arrived[: k + 10]) - limit // 5 - 1) // 1_000)
+        largest = max(largest, len(p.calls.at) + len(p.answers.at))
+    fire(1 << 50)
     want = []
     for at, i, is_call in listed:
         if is_call:
             fits = [(t, j) for t, j, c in listed if not c and at < t <= at + limit]
             want.append((1, i, at, min(fits)[1] if fits else -1, min(fits)[0] - at if fits else -1))
-    assert sorted(out) == sorted(want) and not p.calls.at and not p.answers.at
+    assert sorted(out) == sorted(want) and not p.calls.at and not p.answers.at and not p.timer.at and not handle.timers
+    assert limit < 40_000_000 or largest < 60  # of 2 * 20 * 8 ticks
 
 
 def test_sessions_of_shuffled_files(spark, batch, tmp_path):
