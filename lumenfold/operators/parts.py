@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HOT_ROWS, MAX_HOT, QUANTILES = 1_000_000, 2_000, 100
+#: The largest place.
+FARTHEST = 1 << 61
 #: Parts of the rows without a key.
 NULL_PARTS = 256
 
@@ -24,10 +26,11 @@ def place(column: Column, kind: T.DataType) -> Column:
         return F.unix_seconds(column)
     if isinstance(kind, T.DateType):
         return F.unix_date(column).cast("long")
-    if isinstance(kind, T.IntegralType):
-        return column.cast("long")
-    if isinstance(kind, T.NumericType):  # beyond a long all places are its ends
-        return F.when(F.isnan(column.cast("double")), float(1 << 62)).otherwise(F.greatest(F.least(F.floor(column.cast("double")).cast("double"), F.lit(float(1 << 62))), F.lit(-float(1 << 62)))).cast("long")
+    if isinstance(kind, T.IntegralType):  # far ones share a place, so that differences of places fit a long
+        return F.greatest(F.least(column.cast("long"), F.lit(FARTHEST)), F.lit(-FARTHEST))
+    if isinstance(kind, T.NumericType):
+        number = column.cast("double")
+        return F.when(F.isnan(number), float(FARTHEST)).otherwise(F.greatest(F.least(F.floor(number).cast("double"), F.lit(float(FARTHEST))), F.lit(-float(FARTHEST)))).cast("long")
     raise TypeError(f"a time, date or number is needed, not {kind.simpleString()}")
 
 

@@ -116,6 +116,9 @@ def test_interval_plan_and_cases(spark):
     assert interval_join(left, right.where("false"), ("a", "b"), ("c", "d")).count() == interval_join(left.where("false"), right, ("a", "b"), ("c", "d")).count() == 0
     long = spark.createDataFrame([(1, -(1 << 40), 1 << 40)], "l long, a long, b long")
     assert interval_join(long, right, ("a", "b"), ("c", "d")).count() == 1  # two bins, whatever its length
+    ends = spark.createDataFrame([(1, -(1 << 63), (1 << 63) - 1), (2, (1 << 63) - 2, (1 << 63) - 1)], "l long, a long, b long")
+    points = spark.createDataFrame([(5, -(1 << 63)), (6, (1 << 63) - 1), (7, 0)], "r long, t long")
+    assert sorted((x.l, x.r) for x in interval_join(ends, points, ("a", "b"), ("t", "t")).collect()) == [(1, 5), (1, 6), (1, 7), (2, 6)]
     with pytest.raises(ValueError, match="names that are in both"):
         interval_join(left, left, ("a", "b"), ("a", "b"))
     with pytest.raises(TypeError, match="bounds of one type"):
