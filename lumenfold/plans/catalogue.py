@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import revenue
 from lumenfold.operators.constant import constant_greeting
-from lumenfold.plans import measures, streams, temporal
+from lumenfold.plans import measures, relations, streams, temporal
 from lumenfold.sources import table
 
 
@@ -49,7 +49,7 @@ def ext_events_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy("day", "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-QUERIES = {"r1_constant_greeting": r1_constant_greeting, "ext_pricing_summary": ext_pricing_summary, "ext_revenue_by_region": ext_revenue_by_region, "ext_events_by_day": ext_events_by_day, **temporal.QUERIES, **measures.QUERIES, **streams.QUERIES}
+QUERIES = {"r1_constant_greeting": r1_constant_greeting, "ext_pricing_summary": ext_pricing_summary, "ext_revenue_by_region": ext_revenue_by_region, "ext_events_by_day": ext_events_by_day, **temporal.QUERIES, **measures.QUERIES, **relations.QUERIES, **streams.QUERIES}
 
 ORACLE_SQL = {
     "r1_constant_greeting": "SELECT 'Hello World!' AS greeting",
@@ -63,5 +63,6 @@ ORACLE_SQL = {
         SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL""",
     **temporal.ORACLE_SQL,
     **measures.ORACLE_SQL,
+    **relations.ORACLE_SQL,
     **streams.ORACLE_SQL,
 }

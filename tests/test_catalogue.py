@@ -6,7 +6,7 @@ from lumenfold.sources import table
 from lumenfold.streaming import events_by_window
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
 
 
 @pytest.mark.parametrize("name", catalogue.QUERIES)

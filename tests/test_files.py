@@ -1,0 +1,128 @@
+"""Files of each kind: round trips, lines kept apart, folders."""
+
+import datetime as dt
+import decimal
+import glob
+import math
+import random
+
+import pytest
+from lumenfold.sources.files import KINDS, read_files, write_files
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+KINDS_OF = {"n": T.LongType(), "part": T.StringType(), "t": T.StringType(), "x": T.DoubleType(), "d": T.DecimalType(12, 3), "b": T.BooleanType(), "day": T.DateType(), "at": T.TimestampType(), "local": T.TimestampNTZType(), "raw": T.BinaryType(), "small": T.IntegerType()}
+SCHEMA = T.StructType([T.StructField(k, v) for k, v in KINDS_OF.items()])
+TEXTS = ["", " ", " a ", "\\N", "\\\\N", "\\n", "a\nb", "a\r\nb", "\\\n", "\\\\\n\\", 'say "so", then', '"', "'", ",", ",,", "#x", "é ß", "\t", "null", "\x85", None, "a" * 50_000]
+
+
+def rows(n=400, seed=1):
+    r = random.Random(seed)
+    maybe = lambda x: r.choice([x] * 5 + [None])
+    moment = lambda: dt.datetime(2024, 1, 1) + dt.timedelta(microseconds=r.randrange(10**14))
+    odd = [0.1, -0.0, 1e300, math.inf, -math.inf, 5e-324, 12.0]
+    found = [
+        (k, r.choice(["hot", "hot", "cold day/=%", "007", None]), TEXTS[k % len(TEXTS)], maybe(r.choice(odd)), maybe(decimal.Decimal(r.randrange(10**9)) / 1000), maybe(k % 2 == 0), maybe(moment().date()), maybe(moment().replace(tzinfo=dt.timezone.utc)), maybe(moment()), maybe(bytes([k % 256, 10, 13, 0])), maybe(k))
+        for k in range(n)
+    ]
+    return found + found[:7]
+
+
+def plain(df):
+    return sorted(map(str, df.select(*SCHEMA.names).collect()))
+
+
+@pytest.mark.parametrize("by", [[], ["part"], ["part", "small"]])
+@pytest.mark.parametrize("kind", KINDS)
+def test_round_trip(spark, tmp_path, kind, by):
+    df = spark.createDataFrame(rows(40 if len(by) > 1 else 400), SCHEMA)
+    write_files(df, str(tmp_path / "t"), kind, by)
+    found, apart = read_files(spark, str(tmp_path / "t"), kind, SCHEMA, by)
+    assert found.schema.names == SCHEMA.names and [f.dataType for f in found.schema] == [f.dataType for f in SCHEMA]
+    assert plain(found) == plain(df)
+    assert apart.count() == 0 and apart.columns == ["_file", "_malformed"]
+    for c in ("n", "t", "part"):
+        assert found.select(c).count() == df.count()
+
+
+@pytest.mark.parametrize("by", [[], ["part"]])
+@pytest.mark.parametrize("kind", KINDS)
+def test_empty_table(spark, tmp_path, kind, by):
+    write_files(spark.createDataFrame([], SCHEMA), str(tmp_path / "t"), kind, by)
+    found, apart = read_files(spark, str(tmp_path / "t"), kind, SCHEMA, by)
+    assert found.count() == 0 and apart.count() == 0 and found.columns == SCHEMA.names
+
+
+@pytest.mark.parametrize(
+    ("kind", "good", "bad"),
+    [
+        ("csv", ["1,a,2.5", '2,"b, c",', '"3","",1e3', "\\N,x\\ny,1"], ["x,a,1", "4,a", "5,a,1,2", "6,a,one", "99999999999999999999,a,1"]),
+        ("json", ['{"n":1,"t":"a","x":2.5}', '{"t":"b, c","n":2}', '{"n":3,"t":"","x":1000,"more":[1]}', '{"t":"x\\ny","x":1}'], ['{"n":"x","t":"a"}', "[1", '{"n":6,"x":"one"}', "text", '{"n":99999999999999999999}']),
+    ],
+)
+def test_lines_kept_apart(spark, tmp_path, kind, good, bad):
+    lines = [*good, "", *bad, "  "]
+    random.Random(1).shuffle(lines)
+    (tmp_path / "part.txt").write_text("\n".join(lines) + "\n")
+    schema = T.StructType.fromDDL("n long, t string, x double")
+    found, apart = read_files(spark, str(tmp_path), kind, schema)
+    assert {(r.n, r.t, r.x) for r in found.collect()} == {(1, "a", 2.5), (2, "b, c", None), (3, "", 1000.0), (None, "x\ny", 1.0)}
+    for c in ("n", "t", "x"):  # whichever column is asked for
+        assert found.select(c).count() == len(good)
+    assert sorted(r._malformed for r in apart.collect()) == sorted(bad)
+    assert apart.select("_malformed").distinct().count() == len(bad)
+    assert all(r._file.endswith("part.txt") for r in apart.collect())
+
+
+def test_header(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_text(f'"n",t\n{k},x\n')
+    found, apart = read_files(spark, str(tmp_path), "csv", T.StructType.fromDDL("n long, t string"), header=True)
+    assert sorted(map(tuple, found.collect())) == [(0, "x"), (1, "x"), (2, "x")] and apart.count() == 0
+
+
+@pytest.mark.parametrize("kind", ["json", "orc", "parquet"])
+def test_nested(spark, tmp_path, kind):
+    schema = T.StructType.fromDDL("n long, s struct<a: int, b: array<string>>, m map<string, double>")
+    df = spark.createDataFrame([(1, (None, None), {"a": 1.0, "b": None}), (2, None, {}), (3, (4, ["x", None]), None), (None, None, None)], schema)
+    write_files(df, str(tmp_path / "t"), kind)
+    found, _ = read_files(spark, str(tmp_path / "t"), kind, schema)
+    assert sorted(map(str, found.collect())) == sorted(map(str, df.collect()))
+
+
+def test_refusals(spark, tmp_path):
+    df = spark.range(3).withColumn("a", F.array("id"))
+    with pytest.raises(TypeError):
+        write_files(df, str(tmp_path / "t"), "csv")
+    with pytest.raises(ValueError):
+        write_files(df, str(tmp_path / "t"), "xml")
+    with pytest.raises(ValueError):
+        write_files(df, str(tmp_path / "t"), "json", ["b"])
+    with pytest.raises(ValueError):
+        write_files(spark.range(3), str(tmp_path / "t"), "json", ["id"])
+    with pytest.raises(ValueError):
+        write_files(spark.range(3).withColumn("_malformed", F.lit(1)), str(tmp_path / "t"), "json")
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_a_filter_on_folders_reads_these_only(spark, tmp_path, kind):
+    write_files(spark.createDataFrame(rows(), SCHEMA), str(tmp_path / "t"), kind, ["part"])
+    found, _ = read_files(spark, str(tmp_path / "t"), kind, SCHEMA, ["part"])
+    plan = found.where("part = 'hot'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan
+    assert found.where("part = 'hot'").count() == sum(r[1] == "hot" for r in rows())
+
+
+def test_a_large_folder_is_written_by_several_tasks(spark, tmp_path):
+    r = random.Random(2)
+    df = spark.createDataFrame([(k, "hot" if k % 10 else f"cold{k % 100}", r.randbytes(200).hex()) for k in range(20_000)], "n long, part string, t string").repartition(8)
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "256k")
+    try:
+        write_files(df, str(tmp_path / "t"), "parquet", ["part"])
+    finally:
+        spark.conf.set(name, before)
+    assert len(glob.glob(str(tmp_path / "t" / "part=hot" / "*.parquet"))) > 3
+    folders, files = (len(glob.glob(str(tmp_path / "t" / x))) for x in ("part=cold*", "part=cold*/*.parquet"))
+    assert folders == 10 and files < 40  # 80 if each of the 8 tasks wrote its own; those dealt together with the large one are cut as it is
