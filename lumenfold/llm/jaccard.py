@@ -15,9 +15,10 @@
    and nodes keep the largest coordinates (of DIMENSIONS groups) and the range of sizes, the sum of coordinate minima
    bounds the overlap from above, and pairs that survive and aren't connected yet are verified exactly.
    First all members are searched in the tree of PIVOTS members of their cluster, the best connected and others by a
-   hash; a small cluster is done by this. Members that it links are not searched again among themselves.
-4. The members that are left are searched in the trees of their cluster's other members, by pairs of blocks
-   whose sizes fit, so that no task holds a whole cluster; only links that connect something are emitted.
+   hash; a small cluster is done by this.
+4. The members outside the largest component of their cluster that these links make are searched in the trees of all
+   its members but the pivots, by pairs of blocks whose sizes fit, so that no task holds a whole cluster. Of two sets in
+   different components one at least is such a member, and sets in one component need no link; only links that connect something are emitted.
 5. Connected components of the links.
 
 Hashes have 64 bits, fingerprints of sets 128.
@@ -176,12 +177,13 @@ class CountTree:
         return self.order[found]
 
 
-def spanning_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Links between a left and another set that connect what wasn't connected before."""
+def spanning_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, known: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links between a left and another set that connect what wasn't connected before; sets of equal `known` were."""
     points = np.array([count_vector(x) for x in sets]).reshape(-1, DIMENSIONS)
     sizes = np.array([len(x) for x in sets], np.int64)
     targets = np.flatnonzero(right)
-    tree, parent, out = CountTree(points[targets], sizes[targets]), np.arange(len(sets)), []
+    _, first, own = np.unique(known, return_index=True, return_inverse=True)
+    tree, parent, out = CountTree(points[targets], sizes[targets]), first[own], []
 
     def root(k: int) -> int:
         while parent[k] != k:
@@ -189,7 +191,8 @@ def spanning_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
         return k
 
     for a in np.flatnonzero(left):
-        for b in targets[tree.search(points[a], int(sizes[a]), similarity)]:
+        near = targets[tree.search(points[a], int(sizes[a]), similarity)]
+        for b in near[own[near] != own[a]]:
             if (x := root(a)) != (y := root(b)) and linked(sets[a], sets[b], similarity):
                 parent[max(x, y)] = min(x, y)
                 out.append((int(a), int(b)))
@@ -232,16 +235,16 @@ def _set_bytes(n: int):
 
 
 def _searched(keys: list[str], similarity: float):
-    """u and v: links of the members of each run of rows with equal `keys`; each row is a left, a right member, or both."""
+    """u and v: links of the members of each run of rows with equal `keys`; each row is a left, a right member, or both, and has its component so far."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def work(rows: list[tuple]) -> Iterator[tuple]:
-        sets = [np.frombuffer(x, np.uint64) for _, _, x in rows]
-        side = np.array([x for _, x, _ in rows])
-        for a, b in spanning_links(sets, side != "right", side != "left", similarity):
+        sets = [np.frombuffer(x[3], np.uint64) for x in rows]
+        side = np.array([x[1] for x in rows])
+        for a, b in spanning_links(sets, side != "right", side != "left", np.array([x[2] for x in rows]), similarity):
             yield rows[a][0], rows[b][0]
 
-    return lambda batches: runs(batches, keys, ["node", "side", "shingles"], work, schema)
+    return lambda batches: runs(batches, keys, ["node", "side", "component", "shingles"], work, schema)
 
 
 def _with_text(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -265,7 +268,7 @@ def _pivots(sets: DataFrame, degree: DataFrame) -> DataFrame:
 
 
 def _links(sets: DataFrame, placed: DataFrame, keys: list[str], similarity: float) -> DataFrame:
-    """u and v: what a search finds in each run of rows of `placed` (node, cluster, side and the other `keys`), written; only here the sets are sent."""
+    """u and v: what a search finds in each run of rows of `placed` (node, cluster, side, component and the other `keys`), written; only here the sets are sent."""
     placed = written(placed)
     few = placed.count() <= BROADCAST_IDS
     rows = sets.select("cluster", "node", "shingles").join(F.broadcast(placed) if few else placed, ["cluster", "node"])
@@ -281,16 +284,22 @@ def _against_pivots(ids: DataFrame, pivots: DataFrame) -> DataFrame:
     sizes = others.groupBy("cluster").agg(_parts().alias("parts"))
     left = others.join(sizes, "cluster").select("cluster", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("i"), "node", F.lit("left").alias("side"))
     part = F.explode(F.sequence(F.lit(0), F.greatest(F.coalesce("parts", F.lit(1)), F.lit(1)) - 1))
-    return left.unionByName(marked.where("pivot").join(sizes, "cluster", "left").select("cluster", part.alias("i"), "node", F.lit("both").alias("side")))
+    pivot = marked.where("pivot").join(sizes, "cluster", "left").select("cluster", part.alias("i"), "node", F.lit("both").alias("side"))
+    return left.unionByName(pivot).withColumn("component", F.col("node"))
 
 
 def _among_rest(ids: DataFrame, pivots: DataFrame, found: DataFrame, similarity: float) -> tuple[DataFrame | None, list[DataFrame]]:
-    """Rows of a search of the members that have no link with a pivot, for each other and for all but the pivots, by pairs of blocks (i, j), and the tables they are read from."""
-    hit = found.select(F.col("u").alias("node")).distinct()
-    others = ids.join(pivots, ["cluster", "node"], "left_anti")
-    rest = written(others.join(hit, "node", "left_anti").select("node", "cluster"))
+    """Rows of a search of the members outside their cluster's largest component, for each other and for all but the pivots, by pairs of blocks (i, j), and the tables they are read from.
+
+    Members that different pivots link may be linked with each other, so they are left out only where one component holds them.
+    """
+    others = ids.join(pivots, ["cluster", "node"], "left_anti").join(components(found), "node", "left")
+    others = written(others.withColumn("component", F.coalesce("component", "node")))
+    held = others.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = held.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("most")).select("cluster", F.col("most.component").alias("largest"))
+    rest = written(others.join(largest, "cluster").where("component <> largest").select("node", "cluster").distinct())
     if rest.isEmpty():
-        return None, [rest]
+        return None, [others, rest]
     rest_of = others.join(rest.select("cluster").distinct(), "cluster").groupBy("cluster").agg((_parts() > WHOLE).alias("by_size"))
     sided = others.join(rest_of, "cluster").join(rest.withColumn("left", F.lit(True)), ["cluster", "node"], "left").withColumn("left", F.col("left").isNotNull())
     sided = written(sided.withColumn("band", F.when(F.col("by_size"), F.floor(F.log(F.col("size").cast("double")) / float(np.log(STEP)))).otherwise(0).cast("int")))
@@ -302,10 +311,10 @@ def _among_rest(ids: DataFrame, pivots: DataFrame, found: DataFrame, similarity:
     fits = (F.col("a_low") * similarity <= F.col("b_high") + 1e-9) & (F.col("b_low") * similarity <= F.col("a_high") + 1e-9)
     pairs = written(a.join(b, "cluster").where(fits & (~F.col("left") | (F.col("i") <= F.col("j")))).select("cluster", "i", "j"))  # a row a pair of blocks, none of sets
     placed = sided.join(groups.select("cluster", "left", "band", "parts"), ["cluster", "left", "band"])
-    placed = placed.select("cluster", "node", F.struct(~F.col("left"), "band", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part")).alias("name"))
+    placed = placed.select("cluster", "node", "component", F.struct(~F.col("left"), "band", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part")).alias("name"))
     as_left = placed.join(pairs.withColumn("name", F.col("i")), ["cluster", "name"]).withColumn("side", F.when(F.col("i") == F.col("j"), "both").otherwise("left"))
     as_right = placed.join(pairs.where("i <> j").withColumn("name", F.col("j")), ["cluster", "name"]).withColumn("side", F.lit("right"))
-    return as_left.unionByName(as_right).select("cluster", F.xxhash64("i").alias("i"), F.xxhash64("j").alias("j"), "node", "side"), [rest, sided, pairs]
+    return as_left.unionByName(as_right).select("cluster", F.xxhash64("i").alias("i"), F.xxhash64("j").alias("j"), "node", "side", "component"), [others, rest, sided, pairs]
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -220,3 +220,17 @@ def test_large_cluster(spark, seed, whole, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert found(df, 3, 0.9) == plain(df.collect(), 3, 90)
     assert found(df, 5, 0.8) == plain(df.collect(), 5, 80)
+
+
+def test_members_that_different_pivots_link(spark, monkeypatch):
+    """Chains of texts, each linked with the next alone, with pivots at their ends: the link in the middle is one of two members that a pivot each links.
+
+    In the last chain one of them is linked by a pivot in another cluster only, through another text of its doc_id.
+    """
+    chain = lambda name, count: [" ".join(f"{name}{k}" for k in range(4 * s, 4 * s + 120)) for s in range(count)]
+    rows = [(20 + k, t) for k, t in enumerate(chain("c", 4))] + [(k, t) for k, t in zip((0, 10), chain("a", 2), strict=True)] + [(k, t) for k, t in zip((10, 5, 3), chain("b", 3), strict=True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain(df.collect(), 3, 90)
+    assert {x[2] for x in want} == {"0", "20"}
+    monkeypatch.setattr(jaccard, "_pivots", lambda sets, degree: sets.where("node in (0, 3, 20, 23)").select("cluster", "node"))
+    assert found(df, 3, 0.9) == want
