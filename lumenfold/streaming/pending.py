@@ -1,9 +1,11 @@
 """Keyed state with timers: the first answer to each call of a key within a limit, or that none came.
 
-Calls and answers of a key are kept in state by ticks of their time. When the watermark has passed the limit of a tick's calls, all answers
+Keys are dealt over a fixed number of buckets, and a bucket's calls and answers are kept in state by ticks of their time: what is asked of the
+state and its timers grows with buckets and ticks, not with keys. When the watermark has passed the limit of a tick's calls, all answers
 that could count have come, whatever the order of arrival: a timer decides the calls of all ticks that are due, removes what no later
-call can need, and sets the key's next timer. So the rows are those of the batch form, `first_answers`, and state holds
-about two limits of a key's rows, which is also what a timer reads at once. One key's state belongs to one task, as keyed state does.
+call can need, and sets the bucket's next timer. So the rows are those of the batch form, `first_answers`, and state holds
+about two limits of a bucket's rows, which is also what a timer reads at once. One key's state belongs to one task, as keyed state does.
+The number of buckets is part of a stream's checkpoint: go on with the number that it began with.
 
 Cases: an answer at the same time as the call doesn't count, one at the limit does; of answers at one time the smallest id counts; calls that repeat are
 decided each; null keys, times and ids are left out; rows behind the watermark are dropped.
@@ -11,9 +13,9 @@ decided each; null keys, times and ids are left out; rows behind the watermark a
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,19 +24,40 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from lumenfold.operators.asof import asof_join
 
 RESULT = "key long, call_id long, called_micros long, answer_id long, micros_to_answer long"
+COLUMNS = [c.split()[0] for c in RESULT.split(", ")]
 #: Ticks of a limit: how finely state and timers are cut.
 TICKS = 8
+#: Buckets of keys.
+BUCKETS = 256
+
+
+def _arrays(parts: Iterable[tuple]) -> np.ndarray:
+    """Keys, times and ids (rows) of all entries of state."""
+    return np.concatenate([np.zeros((3, 0), np.int64), *[np.array(list(x), np.int64) for x in parts]], axis=1)
+
+
+def decided(calls: np.ndarray, answers: np.ndarray, limit: int) -> pd.DataFrame:
+    """RESULT of calls, given all answers that could count (keys, times and ids each)."""
+    key, at, ids = np.concatenate([calls, answers], axis=1)
+    is_call = np.arange(len(key)) < calls.shape[1]
+    order = np.lexsort((ids, is_call, at, key))  # answers at the time of a call stand before it
+    call, answer = order[is_call[order]], order[~is_call[order]]
+    after = np.searchsorted(np.flatnonzero(~is_call[order]), np.flatnonzero(is_call[order]))
+    found = np.append(answer, -1)[after]
+    gone = at[found] - at[call]
+    fits = (found >= 0) & (key[found] == key[call]) & (gone >= 0) & (gone <= limit)
+    return pd.DataFrame(dict(zip(COLUMNS, (key[call], ids[call], at[call], np.where(fits, ids[found], -1), np.where(fits, gone, -1)), strict=True)))
 
 
 class FirstAnswer(StatefulProcessor):
-    """Rows at (micros), id and is_call of a key; emits RESULT, with -1 where no answer came."""
+    """Rows key, at (micros), id and is_call of a bucket of keys (without key: of the group's own); emits RESULT, with -1 where no answer came."""
 
     def __init__(self, limit_micros: int):
         self.limit, self.tick = limit_micros, max(1, -(-limit_micros // TICKS))
 
     def init(self, handle) -> None:
         self.handle = handle
-        kept = "at array<bigint>, id array<bigint>"
+        kept = "key array<bigint>, at array<bigint>, id array<bigint>"
         self.calls = handle.getMapState("calls", "tick bigint", kept)
         self.answers = handle.getMapState("answers", "tick bigint", kept)
         self.timer = handle.getValueState("timer", "ms bigint")
@@ -53,26 +76,23 @@ class FirstAnswer(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for batch in rows:
-            for (is_call, tick), part in batch.groupby([batch["is_call"], batch["at"] // self.tick]):
-                state, tick = self.calls if is_call else self.answers, int(tick)
-                at, ids = state.getValue((tick,)) or ([], [])
-                state.updateValue((tick,), ([*at, *part["at"].tolist()], [*ids, *part["id"].tolist()]))
+            at, is_call = batch["at"].to_numpy(np.int64), batch["is_call"].to_numpy(bool)
+            keys = batch["key"].to_numpy(np.int64) if "key" in batch else np.full(len(batch), key[0])
+            new, ticks = np.stack([keys, at, batch["id"].to_numpy(np.int64)]), at // self.tick
+            order = np.lexsort((ticks, is_call))
+            for some in np.split(order, np.flatnonzero(np.diff(ticks[order]) | np.diff(is_call[order])) + 1) if len(order) else []:
+                state, tick = self.calls if is_call[some[0]] else self.answers, int(ticks[some[0]])
+                held = state.getValue((tick,)) or ([], [], [])
+                state.updateValue((tick,), tuple([*old, *x] for old, x in zip(held, new[:, some].tolist(), strict=True)))
                 first = tick if first is None else min(first, tick)
         if first is not None:
             self._wake_for(first, (self.timer.get() or (None,))[0])
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, left, out = timerValues.getCurrentWatermarkInMs(), [], []
+        now, left = timerValues.getCurrentWatermarkInMs(), []
         calls, answers = ({k[0]: v for k, v in state.iterator()} for state in (self.calls, self.answers))
-        known = sorted(x for v in answers.values() for x in zip(*v, strict=True))
-        for tick, v in calls.items():
-            if self._due_ms(tick) > now:
-                continue
-            for at, call in zip(*v, strict=True):
-                after = bisect_right(known, at, key=lambda x: x[0])
-                found = known[after] if after < len(known) and known[after][0] <= at + self.limit else None
-                out.append((key[0], call, at, found[1] if found else -1, found[0] - at if found else -1))
+        due = [v for tick, v in calls.items() if self._due_ms(tick) <= now]
         for state, ticks in ((self.calls, calls), (self.answers, answers)):  # calls that an answer of a tick that is due could answer are decided now, or were before
             stay = [t for t in ticks if self._due_ms(t) > now]
             if not stay:
@@ -83,8 +103,8 @@ class FirstAnswer(StatefulProcessor):
         self.timer.clear()
         if left:
             self._wake_for(min(left), None)
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
+        if due:
+            yield decided(_arrays(due), _arrays(answers.values()), self.limit)
 
     def close(self) -> None:
         pass
@@ -95,12 +115,12 @@ def _rows(events: DataFrame, by: str, on: str, id_: str, is_call, is_answer) ->
     return named.where("(is_call or is_answer) and key is not null and time is not null and id is not null")
 
 
-def stream_first_answers(events: DataFrame, by: str, on: str, id_: str, is_call, is_answer, limit_seconds: int, late: str = "1 hour") -> DataFrame:
+def stream_first_answers(events: DataFrame, by: str, on: str, id_: str, is_call, is_answer, limit_seconds: int, late: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """RESULT of a stream: each call once its limit has passed. Needs RocksDB as the provider of state (`replay.STATE`)."""
     rows = _rows(events, by, on, id_, is_call, is_answer).withWatermark("time", late).withColumn("at", F.unix_micros("time"))
     sides = F.filter(F.array(F.when(F.col("is_call"), F.lit(True)), F.when(F.col("is_answer"), F.lit(False))), lambda x: x.isNotNull())
     split = rows.select("key", "time", "at", "id", F.explode(sides).alias("is_call"))  # a row may be both
-    return split.groupBy("key").transformWithStateInPandas(FirstAnswer(limit_seconds * 1_000_000), RESULT, "Append", "EventTime")
+    return split.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")).groupBy("bucket").transformWithStateInPandas(FirstAnswer(limit_seconds * 1_000_000), RESULT, "Append", "EventTime")
 
 
 def first_answers(events: DataFrame, by: str, on: str, id_: str, is_call, is_answer, limit_seconds: int) -> DataFrame:

@@ -175,6 +175,29 @@ def test_state_is_empty_in_the_end(limit):
     assert limit < 40_000_000 or largest < 60  # of 2 * 20 * 8 ticks
 
 
+def test_many_keys_ask_little_of_the_state(monkeypatch):
+    """2,000 keys of a bucket: as many reads and writes as ticks, and each key's own answers."""
+    r, limit, asked_for = random.Random(6), 8_000, []
+    listed = [(r.randrange(2_000), r.randrange(5 * limit), k, r.random() < 0.5) for k in range(20_000)] + [(7, limit, k, k > 20_004) for k in range(20_000, 20_008)]
+    for name in ("getValue", "updateValue"):
+        call = getattr(State, name)
+        monkeypatch.setattr(State, name, lambda self, *x, call=call: asked_for.append(x) or call(self, *x))
+    p, handle = FirstAnswer(limit), Handle()
+    p.init(handle)
+    assert not list(p.handleInputRows((3,), iter([pd.DataFrame(listed, columns=["key", "at", "id", "is_call"])]), None))
+    out = [x for frame in p.handleExpiredTimer((3,), Clock(1 << 50), None) for x in frame.itertuples(index=False, name=None)]
+    answers = {}
+    for key, at, i, is_call in listed:
+        if not is_call:
+            answers.setdefault(key, []).append((at, i))
+    want = []
+    for key, at, i, is_call in listed:
+        if is_call:
+            first = min((x for x in answers.get(key, []) if at < x[0] <= at + limit), default=None)
+            want.append((key, i, at, first[1] if first else -1, first[0] - at if first else -1))
+    assert sorted(out) == sorted(want) and len(asked_for) <= 2 * 2 * 5 * 8 and not p.calls.at and not p.answers.at
+
+
 def test_sessions_of_shuffled_files(spark, batch, tmp_path):
     folder = Folder(spark, tmp_path / "in")
     folder.add_shuffled(events(1), 3)
